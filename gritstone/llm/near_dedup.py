@@ -106,22 +106,66 @@ def bands(registers: np.ndarray, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _loads(size: np.ndarray, m: int) -> np.ndarray:
+    """For sets of these sizes, the chances of each number of leading zeros, and last that of a bucket no element chose."""
+    zeros, load = 0.5 ** np.arange(54), np.asarray(size, float)[:, None] / m
+    return np.concatenate([np.exp(-load * zeros / 2) - np.exp(-load * zeros), np.exp(-load)], axis=1)
+
+
 def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
-    """Jaccard similarity from registers of the same shape (the last axis), less what registers agree by chance.
+    """Jaccard similarity of row i of a with row i of b from their registers, less what registers agree by chance.
 
     Two unrelated minima agree if their leading zeros and their mantissas do; the chance of the former
     follows from the load of a bucket, of the latter it is 2 to the minus 10.
     """
-    m = a.shape[-1]
-    zeros = 0.5 ** np.arange(54)
-
-    def share(size):
-        load = np.asarray(size, float)[..., None] / m
-        return np.exp(-load * zeros / 2) - np.exp(-load * zeros), np.exp(-load[..., 0])
-
-    (pa_, ea), (pb, eb) = share(size_a), share(size_b)
-    chance = ((pa_ * pb).sum(-1) + ea * eb) / (1 << MANTISSA)
-    return ((a == b).mean(-1) - chance) / (1 - chance)
+    chance = (_loads(size_a, a.shape[1]) * _loads(size_b, a.shape[1])).sum(1) / (1 << MANTISSA)
+    return ((a == b).mean(1) - chance) / (1 - chance)
+
+
+def estimate_all(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """The same for each row of a with each of b."""
+    chance = _loads(size_a, a.shape[1]) @ _loads(size_b, a.shape[1]).T / (1 << MANTISSA)
+    same = np.stack([(b == row).mean(1) for row in a])
+    return (same - chance) / (1 - chance)
+
+
+def linked(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs (a, b) of sets are linked: common shingles are counted by a product of 0/1 matrices."""
+    used, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    own = [sets[i] for i in used]
+    size = np.array([len(x) for x in own])
+    _, code, count = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(own)), size)
+    shared = count > 1
+    row, code = row[shared[code]], (np.cumsum(shared) - 1)[code[shared[code]]]
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    common = np.zeros((len(own), len(own)), np.float32)
+    for start in range(0, int(shared.sum()), 8192):
+        i, j = np.searchsorted(code, [start, start + 8192])
+        hold = np.zeros((len(own), min(8192, int(shared.sum()) - start)), np.float32)
+        hold[row[i:j], code[i:j] - start] = 1
+        common += hold @ hold.T
+    i, j = place[: len(a)], place[len(a) :]
+    both = np.rint(common[i, j]).astype(np.int64)
+    return 100 * both >= percent * (size[i] + size[j] - both)
+
+
+def _spanning(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Places of those of the pairs that join what the earlier ones do not."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    out = []
+    for n, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        if (x := top(x)) != (y := top(y)):
+            up[max(x, y)] = min(x, y)
+            out.append(n)
+    return out
 
 
 def _signer(words: int, m: int, rows: int) -> Callable:
@@ -182,32 +226,38 @@ def _confirmer(percent: int) -> Callable:
     return run
 
 
-def _partners(m: int, least: float, fan: int | None) -> Callable:
-    """Of the rows of a piece (sorted by piece), the pairs of different labels whose estimate is `least` or more.
+def _partners(m: int, least: float, percent: int | None) -> Callable:
+    """Of the rows of a piece (sorted by piece), pairs of different labels whose estimate is `least` or more.
 
-    side 0 rows are compared with side 1 rows, or side 0 with each other in pieces that hold no side 1.
-    With a fan, each row's best `fan` pairs only: a first pass, which later ones complete.
+    side 0 rows are compared with side 1 rows, or with each other in pieces that hold no side 1. Without a
+    percent each row gives its best pair. With one, the pairs are confirmed on their whole sets here, and links that
+    join what the piece's earlier links do not are given: fewer than the piece has rows.
     """
 
     def pairs(group: dict) -> tuple[np.ndarray, np.ndarray]:
+        node, label, n, regs = (group[k] for k in ("node", "label", "n", "regs"))
         left = np.flatnonzero(group["side"] == 0)
         right = np.flatnonzero(group["side"] == 1)
         right = right if len(right) else left
-        node, label, n, regs = (group[k] for k in ("node", "label", "n", "regs"))
-        a, b = np.meshgrid(left, right, indexing="ij")
-        apart = (label[a] != label[b]).ravel()
-        a, b = a.ravel()[apart], b.ravel()[apart]
-        if not len(a):
+        if not len(left):
+            return node[:0], node[:0]
+        apart = label[left][:, None] != label[right]
+        if not apart.any():
             return node[:0], node[:0]
-        near = np.concatenate([estimate(regs[a[i : i + 8192]], regs[b[i : i + 8192]], n[a[i : i + 8192]], n[b[i : i + 8192]]) for i in range(0, len(a), 8192)])
-        good = near >= least
-        if fan is not None:
-            rank = np.empty(len(a), np.int64)
-            order = np.lexsort((node[b], -near, a))
-            first = np.r_[True, np.diff(a[order]) != 0]
-            rank[order] = np.arange(len(a)) - np.maximum.accumulate(np.where(first, np.arange(len(a)), 0))
-            good &= rank < fan
-        return np.minimum(node[a], node[b])[good], np.maximum(node[a], node[b])[good]
+        near = np.where(apart, estimate_all(regs[left], regs[right], n[left], n[right]), -1.0)
+        if percent is None:
+            best = near.argmax(axis=1)
+            good = np.flatnonzero(near[np.arange(len(left)), best] >= least)
+            a, b = left[good], right[best[good]]
+        else:
+            i, j = np.nonzero(near >= least)
+            a, b = left[i], right[j]
+            if len(a):
+                true = linked(group["sets"], a, b, percent)
+                a, b = a[true], b[true]
+                keep = _spanning(label[a], label[b])
+                a, b = a[keep], b[keep]
+        return np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -217,6 +267,8 @@ def _partners(m: int, least: float, fan: int | None) -> Callable:
             cuts = np.flatnonzero(np.diff(piece)) + 1
             ends = [*cuts, *([len(piece)] if last else [])]
             data = {k: table.column(k).to_numpy() for k in ("node", "label", "n", "side")} | {"regs": _matrix(table.column("regs"), m)}
+            if percent is not None:
+                data["sets"] = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
             start = 0
             for end in ends:
                 yield {k: v[start:end] for k, v in data.items()}
@@ -274,9 +326,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, register
     `slack` (five standard deviations); the rest are confirmed on the whole sets.
 
     A bucket is never expanded into all its pairs: its members are held against its smallest document; then,
-    in buckets that still hold several components, against their best partners of another component; and
-    last, all pairs of different components that pass the estimate, in pieces of a bounded number of rows. So
-    each pair that shares a bucket is either in one component by then, or has been looked at itself.
+    in buckets that still hold several components, twice against their best partner of another component; and
+    last, what is left in buckets of several components is joined exactly, by the rarest shingles of each set, in pieces
+    of a bounded number of rows. So each linked pair that shares a bucket is in one component in the end.
     With 5 rows to a band a pair of 85 % is missed by all 25 bands with a chance of 4e-7; below that 4 rows are
     used (31 bands; 8e-8 at 80 %).
 
@@ -313,23 +365,34 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, register
     links = confirmed(stored(likely, "near-likely"))
     tried = star
     labels = components(links)
-    for fan in (2, 8, None):
+    held: DataFrame | None = None
+    for last in (False, False, True):
         known = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
         known = stored(known, "near-known")
         mixed = _mixed(known)
         if mixed.isEmpty():
             break
-        pieces = _pieces(known.join(mixed, "key"), fan)
-        pieces = stored(pieces, "near-pieces").join(regs, "node").select("piece", "side", "node", "label", "n", "regs")
+        rows = known.join(mixed, "key")
+        if last:
+            # pieces of one table saw all the pairs of their bucket: who has a likely partner there is in `held`
+            crowd = rows.where(F.col("majors") + F.col("minors") > PIECE).select("node").unionByName(held).distinct()
+            rest = rows.select("node", "label").distinct().join(stored(crowd, "near-crowd"), "node", "left_semi")
+            known = _by_prefix(stored(rest, "near-rest"), sets, percent)
+            mixed = _mixed(known)
+            rows = known.join(mixed, "key")
+        pieces = stored(_pieces(rows, last), "near-pieces").join(regs, "node").select("piece", "side", "node", "label", "n", "regs")
+        if last:
+            pieces = pieces.join(sets, "node").select("piece", "side", "node", "label", "n", "regs", "shingles")
         pieces = pieces.repartition("piece").sortWithinPartitions("piece")
-        pairs = pieces.mapInArrow(_partners(m, least, fan), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "near-pairs")
-        new = confirmed(pairs)
+        near = stored(pieces.mapInArrow(_partners(m, least, percent if last else None), "a long, b long").distinct(), "near-partners")
+        held = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node")))
+        new = near
+        if not last:
+            pairs = stored(near.join(tried, ["a", "b"], "left_anti"), "near-pairs")
+            new, tried = confirmed(pairs), stored(tried.unionByName(pairs), "near-tried")
         if not new.isEmpty():
-            links, tried = stored(links.unionByName(new), "near-links-so-far"), stored(tried.unionByName(pairs), "near-tried")
+            links = stored(links.unionByName(new), "near-links-so-far")
             labels = components(links)
-        else:
-            tried = stored(tried.unionByName(pairs), "near-tried")
     node = classes.join(labels.withColumnRenamed("node", "n_"), F.col("node") == F.col("n_"), "left").select("whole", F.coalesce("label", "node").alias("c_"))
     node = stored(node, "near-components")
     out = signed.select("doc_id", "n", "whole").join(node, "whole", "left")
@@ -337,6 +400,31 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, register
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in slices([whole], "shingles", 8 << 20):
+            size = pc.binary_length(batch.column("shingles")).to_numpy().astype(np.int64) // 8
+            pick = lambda c, size=size, batch=batch: pa.array(np.repeat(batch.column(c).to_numpy(), size))
+            every = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pick("node"), pick("label"), pa.array(every), pa.array(np.repeat(size, size))], ["node", "label", "key", "n"])
+
+
+def _by_prefix(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """key, node, label: the shingles by which the nodes' linked pairs are sure to meet.
+
+    Linked sets share percent/100 of the shingles of either. So each shares one of its n - ceil(n * percent/100) + 1 rarest,
+    in one order for all, with the other's. The edits of a near-copy are rare, so crowded buckets of documents
+    that are alike, but not linked, fall apart.
+    """
+    flat = nodes.join(sets, "node").select("node", "label", "shingles").mapInArrow(_flat, "node long, label long, key long, n long")
+    flat = stored(flat, "near-flat")
+    often = stored(flat.groupBy("key").agg(F.count("*").alias("often")), "near-often")
+    ranked = flat.join(often, "key").groupBy("node", "label", "n").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("all"))
+    first = F.slice("all", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
+    met = ranked.select("node", "label", F.explode(F.filter(first, lambda x: x["often"] > 1)).alias("x"))
+    return stored(met.select(F.col("x.key").alias("key"), "node", "label"), "near-prefix")
+
+
 def _mixed(known: DataFrame) -> DataFrame:
     """key, major (its most frequent label), minors and majors (rows of the others and of it), of buckets of several labels."""
     by_label = known.groupBy("key", "label").agg(F.count("*").alias("c"))
@@ -344,14 +432,14 @@ def _mixed(known: DataFrame) -> DataFrame:
     return stored(mixed.select("key", F.col("m.label").alias("major"), F.col("m.c").alias("majors"), (F.col("all") - F.col("m.c")).alias("minors")), "near-mixed")
 
 
-def _pieces(rows: DataFrame, fan: int | None) -> DataFrame:
+def _pieces(rows: DataFrame, whole: bool) -> DataFrame:
     """Deal the rows of mixed buckets into pieces of about PIECE rows a side.
 
-    With a fan, each row is in one piece. Without, minors meet all minors and all majors: minors are copied once for
+    Unless `whole`, each row is in one piece. Else minors meet all minors and all majors: minors are copied once for
     each piece of majors and of minors, majors once for each piece of minors.
     """
     dealt = F.xxhash64("node", "key")
-    if fan is not None:
+    if not whole:
         piece = F.pmod(dealt, F.ceil((F.col("majors") + F.col("minors")) / PIECE))
         return rows.select("node", "label", F.lit(0).alias("side"), F.xxhash64("key", piece).alias("piece"))
     minor = F.col("label") != F.col("major")
