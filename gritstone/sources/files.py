@@ -15,7 +15,7 @@ def discover(spark: SparkSession, root: str, suffixes: tuple[str, ...] = SUFFIXE
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}").load(root)
     name = F.lower(F.element_at(F.split("path", "/"), -1))
     files = files.where(~name.isin("readme.md", "readme.txt"))
-    return files.select("path", name.alias("filename"), F.col("length").alias("file_size"), F.md5("content").alias("checksum"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return files.select("path", name.alias("filename"), F.col("length").alias("file_size"), F.md5("content").alias("checksum"), F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit("")).alias("text"))
 
 
 def changed(files: DataFrame, manifest: DataFrame) -> DataFrame:
