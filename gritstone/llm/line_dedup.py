@@ -44,7 +44,7 @@ def line_templates(docs: DataFrame, min_docs: int = 3, depth: int = 3, similarit
     rare = groups.where(F.col("docs") < min_docs).join(crowded.select("leaf"), "leaf", "left_semi").select("key")
     open_lines = stored(lines.join(stored(rare, "line-rare"), "key", "left_semi"), "line-open")
     wanted = open_lines.groupBy("doc_id", "th").agg(F.collect_list(F.struct("i", "leaf")).alias("want"))
-    wanted = stored(wanted.withColumnRenamed("doc_id", "id_"), "line-wanted")
+    wanted = stored(wanted.withColumnRenamed("doc_id", "id_"), "line-wanted").hint("merge")  # as for line-drops
     keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     found = keyed.join(wanted, keyed["doc_id"].eqNullSafe(wanted["id_"]) & (keyed["th"] == wanted["th"])).select(keyed["doc_id"], keyed["th"], masked_lines().alias("all"), F.explode("want").alias("w"))
     words = found.select("doc_id", "th", "w.i", "w.leaf", F.split(F.element_at("all", F.col("w.i") + 1), " ").alias("words"))
@@ -76,6 +76,7 @@ def line_dedup(docs: DataFrame, **options) -> DataFrame:
     comes back, with an empty text if each of its lines went.
     """
     drops = stored(line_templates(docs, **options).select(F.col("doc_id").alias("id_"), F.col("th").alias("th_"), F.col("drop").alias("drop_")), "line-drops")
+    drops = drops.hint("merge")  # the list grows with docs: one plan for every size
     keyed = docs.drop("n_lines", "n_dropped").withColumn("k_", F.xxhash64("text"))
     both = keyed.join(drops, keyed["doc_id"].eqNullSafe(drops["id_"]) & (keyed["k_"] == drops["th_"]), "left")
     kept = F.filter(_lines(), lambda x, i: ~F.array_contains(F.coalesce("drop_", F.array().cast("array<int>")), i))
