@@ -54,7 +54,7 @@ class _Tokens:
     """Ids of the parts of a text between spaces and line feeds: a tokenizer that drops white space makes the same ids of
     the parts as of the whole. Forgets all once it holds `most` parts."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         from tokenizers import Tokenizer
 
         pa.set_cpu_count(1)
@@ -67,10 +67,10 @@ class _Tokens:
     @staticmethod
     def parts(texts: pa.Array) -> pa.ListArray:
         """A, for the tokenizer, equal text cut at spaces and line feeds: A-Z lower-cased, and a full stop or comma that ends
-        a word of a-z set apart. Texts in which special tokens may stand are only cut."""
+        a word set apart. Texts in which special tokens may stand are only cut."""
         texts = pc.fill_null(texts, "")
         plain = pc.replace_substring(pc.ascii_lower(texts), "\n", " ")
-        plain = pc.replace_substring_regex(plain, "([a-z0-9])([.,]) ", r"\1 \2 ")
+        plain = pc.replace_substring_regex(plain, r"(\p{Ll}|[0-9])([.,]) ", r"\1 \2 ")
         return pc.split_pattern(pc.if_else(pc.match_substring(texts, "<|"), pc.replace_substring(texts, "\n", " "), plain), " ")
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +101,7 @@ def _tokenise(path: str, end_id: int, kind: str) -> Callable:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokens, end = _Tokens(path), np.array([end_id], kind).tobytes()
-        for batch in slices(batches):
+        for batch in slices(batches, budget=8 << 20):
             ids, count = tokens.ids(batch.column("text"))
             whole, at = ids.astype(kind).tobytes(), np.concatenate([[0], np.cumsum(count)]) * np.dtype(kind).itemsize
             rows = [whole[a:b] + end for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
