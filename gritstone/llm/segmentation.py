@@ -376,7 +376,7 @@ def sampled(pieces: Pieces, texts: list[str | None], keys: list[int], k: int) ->
 def _encoder(path: str, k: int, temperature: float, keep_ids: bool, seed: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(path, temperature)
-        for batch in slices(batches, budget=8 << 20):
+        for batch in slices(batches, budget=5 << 20):
             texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
             keys = [xxhash.xxh3_64_intdigest(str(i) if i is not None else "text " + (t or ""), seed) for i, t in zip(ids, texts, strict=True)]
             found = sampled(pieces, texts, keys, k)
