@@ -226,12 +226,13 @@ def _confirmer(percent: int) -> Callable:
     return run
 
 
-def _partners(m: int, least: float, percent: int | None) -> Callable:
+def _partners(m: int, least: float, percent: int | None = None, joining: bool = False) -> Callable:
     """Of the rows of a piece (sorted by piece), pairs of different labels whose estimate is `least` or more.
 
-    side 0 rows are compared with side 1 rows, or with each other in pieces that hold no side 1. Without a
-    percent each row gives its best pair. With one, the pairs are confirmed on their whole sets here, and links that
-    join what the piece's earlier links do not are given: fewer than the piece has rows.
+    side 0 rows are compared with side 1 rows, or with each other in pieces that hold no side 1. Each row gives its
+    best pair. If `joining`, the pairs given are those that join what the piece's earlier pairs do not: fewer than
+    the piece has rows. With a percent, pairs are confirmed on their whole sets here, and links that
+    join what the piece's earlier links do not are given.
     """
 
     def pairs(group: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -245,7 +246,11 @@ def _partners(m: int, least: float, percent: int | None) -> Callable:
         if not apart.any():
             return node[:0], node[:0]
         near = np.where(apart, estimate_all(regs[left], regs[right], n[left], n[right]), -1.0)
-        if percent is None:
+        if joining:
+            i, j = np.nonzero(near >= least)
+            keep = _spanning(node[left[i]], node[right[j]])
+            a, b = left[i[keep]], right[j[keep]]
+        elif percent is None:
             best = near.argmax(axis=1)
             good = np.flatnonzero(near[np.arange(len(left)), best] >= least)
             a, b = left[good], right[best[good]]
@@ -377,14 +382,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, register
             # pieces of one table saw all the pairs of their bucket: who has a likely partner there is in `held`
             crowd = rows.where(F.col("majors") + F.col("minors") > PIECE).select("node").unionByName(held).distinct()
             rest = rows.select("node", "label").distinct().join(stored(crowd, "near-crowd"), "node", "left_semi")
-            known = _by_prefix(stored(rest, "near-rest"), sets, percent)
-            mixed = _mixed(known)
-            rows = known.join(mixed, "key")
-        pieces = stored(_pieces(rows, last), "near-pieces").join(regs, "node").select("piece", "side", "node", "label", "n", "regs")
-        if last:
-            pieces = pieces.join(sets, "node").select("piece", "side", "node", "label", "n", "regs", "shingles")
-        pieces = pieces.repartition("piece").sortWithinPartitions("piece")
-        near = stored(pieces.mapInArrow(_partners(m, least, percent if last else None), "a long, b long").distinct(), "near-partners")
+            near = _in_crowds(stored(rest, "near-rest"), regs, sets, m, least, percent)
+        else:
+            pieces = stored(_pieces(rows, False), "near-pieces").join(regs, "node").select("piece", "side", "node", "label", "n", "regs")
+            near = stored(_by_piece(pieces).mapInArrow(_partners(m, least), "a long, b long").distinct(), "near-partners")
         held = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node")))
         new = near
         if not last:
@@ -425,6 +426,27 @@ def _by_prefix(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stored(met.select(F.col("x.key").alias("key"), "node", "label"), "near-prefix")
 
 
+def _by_piece(pieces: DataFrame) -> DataFrame:
+    return pieces.repartition("piece").sortWithinPartitions("piece")
+
+
+def _in_crowds(nodes: DataFrame, regs: DataFrame, sets: DataFrame, m: int, least: float, percent: int) -> DataFrame:
+    """a, b: links that join what the labels of the nodes do not, of all linked pairs with a shingle of their prefixes in common.
+
+    Buckets of a shingle hold registers only. The pairs there that are likely, so far as they join their bucket's rows,
+    make crowds: each likely pair is inside one. A pair that meets in many buckets is in one crowd only, so a
+    whole set is copied once for each piece of its crowd, not for each of its shingles.
+    """
+    known = _by_prefix(nodes, sets, percent)
+    pieces = stored(_pieces(known.join(_mixed(known), "key"), True), "near-meet").join(regs, "node").select("piece", "side", "node", "label", "n", "regs")
+    likely = stored(_by_piece(pieces).mapInArrow(_partners(m, least, joining=True), "a long, b long").distinct(), "near-meetings")
+    crowds = components(likely).withColumnRenamed("label", "key")
+    known = stored(nodes.select("node", "label").join(crowds, "node").select("key", "node", "label"), "near-crowds")
+    pieces = stored(_pieces(known.join(_mixed(known), "key"), True), "near-dealt").join(regs, "node").join(sets, "node")
+    pieces = pieces.select("piece", "side", "node", "label", "n", "regs", "shingles")
+    return stored(_by_piece(pieces).mapInArrow(_partners(m, least, percent), "a long, b long").distinct(), "near-joined")
+
+
 def _mixed(known: DataFrame) -> DataFrame:
     """key, major (its most frequent label), minors and majors (rows of the others and of it), of buckets of several labels."""
     by_label = known.groupBy("key", "label").agg(F.count("*").alias("c"))
