@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gritstone.functions import text as T
 from gritstone.operators import matching, relational, retrieval, stateful
 from gritstone.plans import router
+from gritstone.sources import parsers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -420,3 +421,38 @@ def ttl_cache_replay(t):
 @query()
 def chunk_pack(t):
     return stateful.pack_chunks(t("documents"))
+
+
+# --- parsers over lines made of the tables' numbers ---------------------------------------------------------------
+
+
+@query("""SELECT o_orderkey, line, item, parameter, value, unit FROM (
+  SELECT o_orderkey, 0 AS line, 0 AS item, 'Rw (at 20 °C)' AS parameter, '0.' || o_custkey AS value, 'ohmm' AS unit FROM orders
+  UNION ALL SELECT o_orderkey, 0, 1, 'Temperature gradient', '2.' || o_custkey, '°C' FROM orders
+  UNION ALL SELECT o_orderkey, 2, 0, 'Reservoir temperature (at ' || o_orderkey || ' m TVDSS)', '1' || o_custkey, '°C' FROM orders
+  UNION ALL SELECT o_orderkey, 3, 0, 'Shale cut-off', o_custkey || '.5', 'g/cc' FROM orders
+  UNION ALL SELECT o_orderkey, 4, 0, 'Fluid', CAST(o_orderkey AS VARCHAR), NULL FROM orders)""")
+def parse_facts(t):
+    say = "'Rw = 0.', o_custkey, ' at 20 oC, Temp Gradient: 2.', o_custkey, ' oC\n\nReservoir Temperature = 1', o_custkey, ' oC at ', o_orderkey, ' m TVDSS\n Shale cut-off : ', o_custkey, '.5 g/cc\nFluid=', o_orderkey, '\nPage: 3\nprose 7'"
+    made = t("orders").select("o_orderkey", F.expr(f"concat({say})").alias("text"))
+    return parsers.parse_facts(made).select("o_orderkey", "line", "item", "parameter", "value", "unit")
+
+
+@query("""SELECT l_orderkey, l_linenumber, n, source, CAST(page_start AS DOUBLE) AS page_start, CAST(page_end AS DOUBLE) AS page_end FROM (
+  SELECT l_orderkey, l_linenumber, 0 AS n, 'wells/' || l_partkey || '.pdf' AS source, l_suppkey AS page_start, l_suppkey + 2 AS page_end FROM lineitem
+  UNION ALL SELECT l_orderkey, l_linenumber, 1, l_partkey || '.txt', l_suppkey, l_suppkey FROM lineitem
+  UNION ALL SELECT l_orderkey, l_linenumber, 2, 'picks.dat', NULL, NULL FROM lineitem)""")
+def parse_citations(t):
+    first = "'Source: ..\\\\wells\\\\', l_partkey, '.pdf (pages ', l_suppkey, '-', l_suppkey + 2, ')\n'"
+    say = f"'Answer.\n', {first}, '  Source: ', l_partkey, '.txt (page ', l_suppkey, ')\nSource: N/A\n', {first}, 'Source: picks.dat'"
+    made = t("lineitem").select("l_orderkey", "l_linenumber", F.expr(f"concat({say})").alias("text"))
+    return parsers.parse_citations(made).withColumns({c: F.col(c).cast("double") for c in ("page_start", "page_end")})
+
+
+@query("""SELECT source, line_no, well, formation, pick_type, md_m, tvd_m, tvdss_m, quality FROM (
+  SELECT p_partkey AS source, 4 AS line_no, 'NO 15/9-' || p_size AS well, 'Hugin Fm.' AS formation, 'Top' AS pick_type, p_size + 0.5 AS md_m, CAST(p_size AS DOUBLE) AS tvd_m, CAST(-p_size AS DOUBLE) AS tvdss_m, 'Eroded' AS quality FROM part
+  UNION ALL SELECT p_partkey, 5, 'NO 15/9-' || p_size, 'Ty Fm.', 'Base', CAST(p_size AS DOUBLE), CAST(p_size AS DOUBLE), NULL, 'Not logged' FROM part)""")
+def parse_picks(t):
+    say = "'NO 15/9-9  Lost Fm. Top  1 ER 5 5 5\nWell NO 15/9-', p_size, '\n# note\nWell name   Surface name   Obs#\nNO 15/9-', p_size, '   Hugin Fm. Top    1  ER  ', p_size, '.5  ', p_size, '  -', p_size, ' x\nNO 15/9-', p_size, '   Ty Fm. Base   ', p_size, ' ', p_size, '\n-----'"
+    made = t("part").select(F.col("p_partkey").alias("source"), F.posexplode(F.split(F.expr(f"concat({say})"), "\n")).alias("line_no", "line"))
+    return parsers.parse_picks(made)
