@@ -306,18 +306,23 @@ def _partners(m: int, least: float, percent: int | None = None, joining: bool =
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node that edges (a, b) lead to, for each node of an edge.
 
-    Each round takes the least label of the neighbours and then the label of that label; each is a stored table.
+    Each round merges every node into its least neighbour's least neighbour (itself, if it is the least), and keeps the
+    distinct edges between what is left; so a round reads only edges that the rounds before did not settle. The smallest node of a component is
+    never merged into another. Each step is a stored table.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = stored(both, "cc-edges")
-    state = stored(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")), "cc-state")
+    both, state = stored(both, "cc-edges"), None
     while True:
-        near = both.join(state, both["b"] == state["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        step = stored(state.join(stored(near, "cc-near"), F.col("node") == F.col("a")).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")), "cc-step")
-        at = step.select(F.col("node").alias("at"), F.col("label").alias("far"))
-        step = stored(step.join(at, step["label"] == at["at"], "left").select("node", "was", F.least("label", F.coalesce("far", "label")).alias("label")), "cc-jump")
-        state = step.select("node", "label")
-        if step.where("was <> label").isEmpty():
+        lead = stored(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")), "cc-lead")
+        lead = stored(lead.join(lead.select(F.col("node").alias("at"), F.col("label").alias("far")), F.col("label") == F.col("at")).select(F.col("node").alias("at"), F.col("far")), "cc-jump")
+        if state is None:
+            state = lead.select(F.col("at").alias("node"), F.col("far").alias("label"))
+        else:
+            state = stored(state.join(lead, F.col("label") == F.col("at"), "left").select("node", F.coalesce("far", "label").alias("label")), "cc-state")
+        for x, y in ("ab", "ba"):
+            both = stored(both.join(lead, F.col(x) == F.col("at")).select(F.col("far").alias(x), y).where("a <> b"), "cc-merged")
+        both = stored(both.distinct(), "cc-edges")
+        if both.isEmpty():
             return state
 
 
