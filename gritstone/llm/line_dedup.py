@@ -25,10 +25,12 @@ def line_templates(docs: DataFrame, min_docs: int = 3, depth: int = 3, similarit
     """Lines to drop: doc_id, th (hash of the text), drop (their places, from 0).
 
     The tree has a leaf for each number of tokens and first `depth` tokens, digits masked. Lines whose masked
-    form stands in min_docs documents are a template as they are. Among the other lines of a leaf that
-    min_docs documents share, a token that so many documents have in the same place is constant, any other
-    token is a field; where at least `similarity` of the tokens are constant, lines with the same constants
-    are one template. A template is recurring if min_docs documents have it.
+    form stands in min_docs documents are a template as they are. The other lines of a leaf that min_docs
+    documents share are judged by how many distinct lines of the leaf have a token in the same place: of a
+    line the `similarity` of its tokens that most lines have are constant, with those that as many have; any
+    other token is a field. So a value of a field is no constant, however often it recurs, if the line's own
+    constants recur more. Lines with the same constants are one template. It is recurring if min_docs
+    documents have it.
     """
     base = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(masked_lines()).alias("i", "line"))
     tokens = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
@@ -41,23 +43,22 @@ def line_templates(docs: DataFrame, min_docs: int = 3, depth: int = 3, similarit
     recurring = groups.where(F.col("docs") >= min_docs).select("key", "first")
 
     crowded = groups.where(F.col("docs") < min_docs).groupBy("leaf").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
-    rare = groups.where(F.col("docs") < min_docs).join(crowded.select("leaf"), "leaf", "left_semi").select("key")
-    open_lines = stored(lines.join(stored(rare, "line-rare"), "key", "left_semi"), "line-open")
-    wanted = open_lines.groupBy("doc_id", "th").agg(F.collect_list(F.struct("i", "leaf")).alias("want"))
+    variants = stored(groups.where(F.col("docs") < min_docs).join(crowded.select("leaf"), "leaf", "left_semi").select("leaf", "key", "first"), "line-variants")
+    wanted = variants.groupBy("first.doc_id", "first.th").agg(F.collect_list(F.struct("first.i", "leaf", "key")).alias("want"))
     wanted = stored(wanted.withColumnRenamed("doc_id", "id_"), "line-wanted").hint("merge")  # as for line-drops
     keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    found = keyed.join(wanted, keyed["doc_id"].eqNullSafe(wanted["id_"]) & (keyed["th"] == wanted["th"])).select(keyed["doc_id"], keyed["th"], masked_lines().alias("all"), F.explode("want").alias("w"))
-    words = found.select("doc_id", "th", "w.i", "w.leaf", F.split(F.element_at("all", F.col("w.i") + 1), " ").alias("words"))
-    words = stored(words.dropDuplicates(["doc_id", "th", "i"]), "line-words")
-    at = stored(words.select("doc_id", "th", "i", "leaf", F.posexplode("words").alias("at", "word")), "line-at")
-    constant = at.groupBy("leaf", "at", "word").agg(F.countDistinct("doc_id", "th").alias("docs")).where(F.col("docs") >= min_docs)
-    known = at.join(stored(constant.select("leaf", "at", "word"), "line-constant"), ["leaf", "at", "word"])
-    shape = F.array_sort(F.collect_list(F.struct("at", "word")))
-    shapes = known.groupBy("doc_id", "th", "i", "leaf").agg(shape.alias("shape"))
-    length = words.select(F.col("doc_id").alias("id_"), F.col("th").alias("th_"), F.col("i").alias("i_"), F.size("words").alias("n"))
-    shapes = shapes.join(length, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("th") == F.col("th_")) & (F.col("i") == F.col("i_")))
-    shapes = shapes.where(F.size("shape") >= F.ceil(F.col("n") * similarity))
-    general = stored(shapes.select("doc_id", "th", "i", F.unhex(F.md5(F.concat_ws("|", "leaf", F.to_json("shape")))).alias("key")), "line-general")
+    found = keyed.join(wanted, keyed["doc_id"].eqNullSafe(wanted["id_"]) & (keyed["th"] == wanted["th"])).select(masked_lines().alias("all"), F.explode("want").alias("w"))
+    words = found.select("w.leaf", "w.key", F.split(F.element_at("all", F.col("w.i") + 1), " ").alias("words")).dropDuplicates(["key"])
+    at = stored(words.select("leaf", "key", F.size("words").alias("n"), F.posexplode("words").alias("at", "word")).where(F.col("at") >= depth), "line-at")
+    held = at.groupBy("leaf", "at", "word").agg(F.count("*").alias("held"))
+    known = at.join(stored(held, "line-held"), ["leaf", "at", "word"])
+    tokens_of = known.groupBy("leaf", "key", "n").agg(F.collect_list(F.struct("held", "at", "word")).alias("all"))
+    need = F.greatest(F.ceil(F.col("n") * similarity).cast("int") - depth, F.lit(0))  # besides the leading tokens
+    least = F.when(need > 0, F.element_at(F.sort_array(F.transform("all", lambda x: x["held"]), asc=False), F.greatest(need, F.lit(1))))
+    shape = F.array_sort(F.transform(F.filter("all", lambda x: x["held"] >= F.col("least")), lambda x: F.struct(x["at"], x["word"])))
+    shapes = tokens_of.withColumn("least", least).select("key", F.unhex(F.md5(F.concat_ws("|", "leaf", F.to_json(shape)))).alias("shape"))
+    general = lines.join(stored(shapes, "line-shapes"), "key").select("doc_id", "th", "i", F.col("shape").alias("key"))
+    general = stored(general, "line-general")
     general_groups = general.groupBy("key").agg(F.countDistinct("doc_id", "th").alias("docs"), first).where(F.col("docs") >= min_docs).select("key", "first")
 
     hits = [part.join(stored(g, "line-recurring"), "key").where(~F.struct("doc_id", "th", "i").eqNullSafe(F.col("first"))) for part, g in ((lines, recurring), (general, general_groups))]

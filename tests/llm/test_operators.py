@@ -115,6 +115,17 @@ def test_lines(spark, odd, empty):
     assert line_dedup.line_dedup(odd).count() == len(ODD) and line_dedup.line_dedup(empty).count() == 0
 
 
+def test_lines_with_recurring_fields(spark):
+    """Two fields whose values recur: one line stays, whatever the size of the table."""
+    for users, topics in ((4, 4), (12, 9)):
+        lines = [f"This entry was posted by u{chr(97 + u)} in t{chr(97 + t)} on the public board today" for u in range(users) for t in range(topics)]
+        prose = [f"This entry was {' '.join(f'q{chr(97 + i)}{chr(97 + j)}' for j in range(10))}" for i in range(5)]
+        d = spark.createDataFrame(list(enumerate(lines + prose)), "doc_id long, text string")
+        got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.line_dedup(d).collect()}
+        assert [i for i, n in got.items() if not n and i < len(lines)] == [0]
+        assert all(got[len(lines) + i] == 0 for i in range(len(prose)))
+
+
 def test_quality(spark, odd, empty, docs):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
