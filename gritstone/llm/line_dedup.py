@@ -25,9 +25,9 @@ def line_templates(docs: DataFrame, min_docs: int = 3, depth: int = 3, similarit
     """Lines to drop: doc_id, th (hash of the text), drop (their places, from 0).
 
     The tree has a leaf for each number of tokens and first `depth` tokens, digits masked. Lines whose masked
-    form stands in min_docs documents are a template as they are. The other lines of a leaf that min_docs
-    documents share are judged by how many distinct lines of the leaf have a token in the same place: of a
-    line the `similarity` of its tokens that most lines have are constant, with those that as many have; any
+    form stands in min_docs documents are a template as they are. All lines of a leaf that min_docs
+    documents share, those too, are judged by how many distinct lines of the leaf have a token in the same
+    place: of a line the `similarity` of its tokens that most lines have are constant, with those that as many have; any
     other token is a field. So a value of a field is no constant, however often it recurs, if the line's own
     constants recur more. Lines with the same constants are one template. It is recurring if min_docs
     documents have it.
@@ -42,8 +42,8 @@ def line_templates(docs: DataFrame, min_docs: int = 3, depth: int = 3, similarit
     groups = stored(lines.groupBy("leaf", "key").agg(F.countDistinct("doc_id", "th").alias("docs"), first), "line-groups")
     recurring = groups.where(F.col("docs") >= min_docs).select("key", "first")
 
-    crowded = groups.where(F.col("docs") < min_docs).groupBy("leaf").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
-    variants = stored(groups.where(F.col("docs") < min_docs).join(crowded.select("leaf"), "leaf", "left_semi").select("leaf", "key", "first"), "line-variants")
+    crowded = groups.groupBy("leaf").agg(F.sum("docs").alias("docs"), F.count("*").alias("lines")).where((F.col("docs") >= min_docs) & (F.col("lines") > 1))
+    variants = stored(groups.join(crowded.select("leaf"), "leaf", "left_semi").select("leaf", "key", "first"), "line-variants")
     wanted = variants.groupBy("first.doc_id", "first.th").agg(F.collect_list(F.struct("first.i", "leaf", "key")).alias("want"))
     wanted = stored(wanted.withColumnRenamed("doc_id", "id_"), "line-wanted").hint("merge")  # as for line-drops
     keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")

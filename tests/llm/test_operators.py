@@ -126,6 +126,14 @@ def test_lines_with_recurring_fields(spark):
         assert all(got[len(lines) + i] == 0 for i in range(len(prose)))
 
 
+def test_lines_of_rare_variants(spark):
+    """Two rare variants of a line that stands in many documents go with it."""
+    line = lambda who: f"Posted on the board by {who} in the news"
+    rows = [*enumerate([line("ann")] * 20), (20, line("bob")), (21, line("cy"))]
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: int(i > 0) for i in range(22)}
+
+
 def test_quality(spark, odd, empty, docs):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
