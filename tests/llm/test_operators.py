@@ -134,6 +134,15 @@ def test_lines_of_rare_variants(spark):
     assert got == {i: int(i > 0) for i in range(22)}
 
 
+def test_short_and_long_lines(spark):
+    """Short lines that recur as they are go, those that differ in digits or are empty stay; a long line goes from the second document on."""
+    passage = " ".join(f"p{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60))
+    rows = [(i, f"All rights reserved.\nNo. {i}\n\nown{chr(97 + i)}") for i in range(4)] + [(4, "before\n" + passage), (5, passage + "\nafter"), (6, "just two here once"), (7, "just two here once")]
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {0: (rows[0][1], 0), **{i: (f"No. {i}\n\nown{chr(97 + i)}", 1) for i in (1, 2, 3)}, 4: (rows[4][1], 0), 5: ("after", 1), 6: (rows[6][1], 0), 7: (rows[7][1], 0)}
+    assert got == want
+
+
 def test_quality(spark, odd, empty, docs):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
