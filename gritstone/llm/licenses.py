@@ -126,11 +126,31 @@ class Scanner:
             name, template = self.templates[n]
             own = Counter(template)
             if sum(c for w, c in own.items() if w in here) >= self.coverage * len(template):
-                out += [found for at in self._regions(words, own, len(template)) if (found := self._align(name, template, words, *at))]
+                out += [found for at in self._regions(words, own, len(template)) for found in self._copies(name, template, words, *at)]
+        return out
+
+    def _copies(self, name: str, template: list[str], words: list[str], a: int, b: int) -> list[Found]:
+        """Every copy in [a, b): the best of those that begin in the next two lengths, then those before and after its span."""
+        size, least = len(template), -int(-self.coverage * len(template) // 1)
+        todo, out = [(a, b)], []
+        while todo:
+            a, b = todo.pop()
+            while b - a >= max(least, 1):
+                found = self._align(name, template, words, a, min(b, a + 2 * size), b)
+                if not found:
+                    a += size
+                    continue
+                if found.end - found.start > size:  # it may have begun in the copy before
+                    found = self._align(name, template, words, found.start, found.end, found.end) or found
+                while found.end - found.start >= 2 * least and (one := self._align(name, template, words, found.start, found.start + 1, found.end - least)):
+                    found = one  # the head of a copy had been aligned with the tail of the next
+                out.append(found)
+                todo.append((a, found.start))
+                a = found.end
         return out
 
     def _regions(self, words: list[str], own: Counter, size: int) -> list[tuple[int, int]]:
-        """Stretches of the text in which the template's words are dense, split where one window's worth is complete.
+        """Stretches of the text in which the template's words are dense.
 
         In a window of the template's length, at least half of `coverage` of the template must be there, counted
         with multiplicity; windows that overlap are one stretch.
@@ -151,22 +171,24 @@ class Scanner:
                     spans[-1][1] = i + 1
                 else:
                     spans.append([a, i + 1])
-        out = []
-        for a, b in spans:
-            while b - a > 3 * size:  # a notice that is repeated: each copy is aligned by itself
-                out.append((a, a + 2 * size))
-                a += size
-            out.append((a, b))
-        return out
+        return [(a, b) for a, b in spans]
+
+    def _align(self, name: str, template: list[str], words: list[str], a: int, last: int, b: int) -> Found | None:
+        """The best alignment in [a, b) from a, or from any place before `last` that has the template's first word.
 
-    def _align(self, name: str, template: list[str], words: list[str], a: int, b: int) -> Found | None:
-        """The best alignment from any place in [a, b) where the template begins: with its first words, or whole."""
+        One or two lengths of the text are aligned: one so that a copy that follows is not in the way.
+        """
         best = None
-        starts = [i for i in range(a, b) if words[i] == template[0]] or [a]
-        for i in {a, *starts}:
-            pairs = patience(words[i : min(b, i + 2 * len(template))], template)
-            if pairs and (best is None or len(pairs) > best.matched):
-                best = Found(name, len(pairs) / len(template), i + pairs[0][0], i + pairs[-1][0] + 1, len(pairs))
+        size = len(template)
+        for i in [a, *(i for i in range(a + 1, last) if words[i] == template[0])]:
+            for end in sorted({min(b, i + size), min(b, i + 2 * size)}):
+                pairs = patience(words[i:end], template)
+                if pairs:
+                    found = Found(name, len(pairs) / size, i + pairs[0][0], i + pairs[-1][0] + 1, len(pairs))
+                    if best is None or (found.matched, found.start - found.end) > (best.matched, best.start - best.end):
+                        best = found
+                    if found.matched == size:
+                        break
         return best if best and best.coverage >= self.coverage else None
 
 

@@ -208,6 +208,33 @@ def test_licenses(spark, odd, empty):
     assert licenses.patience(list("abcxyz"), list("abdyz")) == [(0, 0), (1, 1), (4, 3), (5, 4)]
 
 
+def test_license_copies():
+    """Each copy is found once, alone in a text, back to back, damaged or between words."""
+    scanner = licenses.Scanner()
+    for name in ("MIT-short", "Apache-2.0", "MIT", "ISC"):
+        text = dict(licenses.TEMPLATES)[name]
+        whole = licenses.license_words(text)
+        n = len(whole)
+        damaged = [w for i, w in enumerate(whole) if i != n // 3]
+        changed = [w if i != 4 * n // 5 else "other" for i, w in enumerate(whole)]
+        for copies in ([whole] * 2, [whole] * 3, [whole] * 7, [damaged, changed], [changed, damaged, whole], [damaged] * 4):
+            for between in ([], ["more"], ["words"] * 2 * n):
+                for edge in ([], ["prose"] * 50):
+                    words, spans = list(edge), []
+                    for c in copies:
+                        spans.append((len(words), len(words) + len(c)))
+                        words += [*c, *between]
+                    found = sorted((f for f in scanner.scan(" ".join(words + edge)) if f.name == name), key=lambda f: f.start)
+                    near = [abs(f.start - a) + abs(f.end - b) <= 2 + n // 10 for f, (a, b) in zip(found, spans, strict=False)]
+                    assert len(found) == len(copies) and all(near), (name, len(between), len(edge), found, spans)
+
+
+def test_license_copies_of_rows(spark):
+    d = spark.createDataFrame([(3, "Released under the MIT License.\nmore\nReleased under the MIT License.")], "doc_id long, text string")
+    (row,) = licenses.scan_licenses(d).collect()
+    assert [(x["license"], x["start"], x["end"]) for x in row["licenses"]] == [("MIT-short", 0, 5), ("MIT-short", 6, 11)]
+
+
 def test_segmentations(spark, odd, empty):
     path = public_tokenizers.path("piece_bpe_32k.model")
     pieces = segmentation.Pieces(path)
