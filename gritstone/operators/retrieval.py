@@ -46,6 +46,53 @@ def vector_scores(vectors: DataFrame, questions: DataFrame, measure: Callable[[C
     return vectors.join(questions, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", measure(F.col("embedding"), F.col("query")).alias("score"))
 
 
+def _scores(measure: str, a: pd.Series, b: pd.Series) -> np.ndarray:
+    """A row for each of a, a column for each of b: cosine, 0 where there is none, or 1 / (1 + squared distance), else NaN."""
+    out = np.full((len(a), len(b)), 0.0 if measure == "cosine" else np.nan)
+    sizes = [np.array([-1 if v is None else len(v) for v in s]) for s in (a, b)]
+    for n in set(sizes[0]) & set(sizes[1]) - {-1}:
+        i, j = (np.flatnonzero(s == n) for s in sizes)
+        x, y = (np.array([s.iloc[k] for k in at], float).reshape(len(at), n) for s, at in ((a, i), (b, j)))
+        if measure == "cosine":
+            norm = np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1))
+            part = np.where(norm > 0, x @ y.T / np.where(norm > 0, norm, 1), 0.0)
+        else:
+            part = 1 / (1 + np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * (x @ y.T), 0))
+        out[np.ix_(i, j)] = part
+    return out
+
+
+def nearest(vectors: DataFrame, questions: DataFrame, measure: str, k: int, digits: int, question_block: int = 256, vector_block: int = 4096) -> DataFrame:
+    """query_id, vec_id, score, rank: the k best vectors of each question (query_id, query) by the score, rounded, and then vec_id.
+
+    Every vector but the question's own is scored (measure: cosine or l2), a block of questions with a block of
+    vectors at a time; each pair of blocks keeps k rows a question.
+    """
+    down, across = (max(1, -(-t.count() // n)) for t, n in ((questions, question_block), (vectors, vector_block)))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = questions.select("query_id", "query", F.pmod(F.xxhash64("query_id"), F.lit(down)).cast("int").alias("q"), upto(across).alias("v"))
+    right = vectors.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(across)).cast("int").alias("v"), upto(down).alias("q"))
+
+    def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("vec_id")
+        scores, ids = _scores(measure, a["query"], b["embedding"]), b["vec_id"].to_numpy()
+        # halves go away from zero, as Spark and SQL round them
+        scores = np.sign(scores) * np.floor(np.abs(scores) * 10.0**digits + 0.5) / 10.0**digits
+        found = []
+        for q, row in zip(a["query_id"].to_numpy(), scores, strict=True):
+            other = np.flatnonzero(ids != q)
+            low = np.where(np.isnan(row[other]), np.inf, -row[other])
+            if len(low) > k:
+                other = other[(near := low <= np.partition(low, k - 1)[k - 1])]
+                low = low[near]
+            at = other[np.argsort(low, kind="stable")[:k]]
+            found.append(pd.DataFrame({"query_id": q, "vec_id": ids[at], "score": row[at]}))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+
+    tiles = left.groupBy("q", "v").cogroup(right.groupBy("q", "v")).applyInPandas(tile, "query_id long, vec_id long, score double")
+    return top_k(tiles.withColumn("score", F.nanvl("score", F.lit(None).cast("double"))), k, tie="vec_id")
+
+
 def fuse_reciprocal(ranked: DataFrame, k: int = 60) -> DataFrame:
     """Sum of 1 / (k + rank) of each document over the lists; k of 0 or less means 60."""
     k = k if k > 0 else 60
@@ -105,7 +152,11 @@ def evaluate(runs: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = (1, 3, 5,
     Without relevant documents recall is 1 if nothing was retrieved either, else 0.
     """
     marked = runs.join(qrels.select("query_id", "doc_id").distinct().withColumn("rel", F.lit(1)), ["query_id", "doc_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
-    total = qrels.groupBy("query_id").agg(F.countDistinct("doc_id").alias("n_rel"))
+    return evaluate_marked(marked, qrels.groupBy("query_id").agg(F.countDistinct("doc_id").alias("n_rel")), ks)
+
+
+def evaluate_marked(marked: DataFrame, total: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+    """evaluate, of runs whose rows say if they are relevant (rel, 0 or 1), with n_rel of each query_id."""
     each = marked.withColumn("k", F.explode(F.array(*map(F.lit, ks))))
     inside = F.col("rank") <= F.col("k")
     found = each.groupBy("query_id", "k").agg(

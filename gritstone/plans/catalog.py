@@ -303,19 +303,18 @@ def _vector_sql(expr: str, order: str) -> str:
 
 
 def _asked(t) -> DataFrame:
-    """The operator's questions: five vectors, as a batch of questions would bring them."""
-    return t("embeddings").where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    """The questions: a twentieth of the vectors, as many more as there are more vectors."""
+    return t("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
 @query(_vector_sql("1 / (1 + list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ** 2)))", "DESC"))
 def vector_topk_l2(t):
-    scored = retrieval.vector_scores(t("embeddings"), _asked(t), lambda a, b: F.round(1 / (1 + T.squared_distance(a, b)), 6))
-    return retrieval.top_k(scored, 10, tie="vec_id")
+    return retrieval.nearest(t("embeddings"), _asked(t), "l2", 10, 6)
 
 
 @query(_vector_sql("list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])", "DESC"))
 def vector_topk_cosine(t):
-    return retrieval.top_k(retrieval.vector_scores(t("embeddings"), _asked(t), lambda a, b: F.round(T.cosine(a, b), 6)), 10, tie="vec_id")
+    return retrieval.nearest(t("embeddings"), _asked(t), "cosine", 10, 6)
 
 
 _LISTS = f"""WITH {_BM25}, x AS (SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 10), y AS (SELECT query_id, doc_id, rank, 1.0 / rank AS score FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY md5(query_id || '-' || doc_id)) AS rank FROM {_Q}, documents) WHERE rank <= 10)"""
@@ -344,7 +343,7 @@ def fuse_weighted(t):
 
 @query()
 def mmr_select(t):
-    near = retrieval.top_k(retrieval.vector_scores(t("embeddings"), _asked(t), T.cosine), 24, tie="vec_id").join(t("embeddings").select("vec_id", "embedding"), "vec_id")
+    near = retrieval.nearest(t("embeddings"), _asked(t), "cosine", 24, 12).join(t("embeddings").select("vec_id", "embedding"), "vec_id")
     return retrieval.diversify(near.select(F.col("query_id").cast("long").alias("query_id"), F.col("vec_id").alias("doc_id"), "score", "embedding"), 10)
 
 
@@ -355,14 +354,13 @@ def overlap_rerank(t):
     return retrieval.overlap_scores(pairs).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
-def _run(t) -> DataFrame:
-    return vector_topk_cosine(t).select("query_id", F.col("vec_id").alias("doc_id"), "rank")
-
-
-def _relevant(t) -> DataFrame:
-    e = t("embeddings").select("vec_id", "label")
-    asked = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "label")
-    return asked.join(e, "label").where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("doc_id"))
+def _evaluated(t) -> DataFrame:
+    """The cosine lists, judged by label; what is relevant is counted by label, without pairs."""
+    label = t("embeddings").select("vec_id", "label")
+    run = vector_topk_cosine(t).join(label.withColumnRenamed("vec_id", "query_id").withColumnRenamed("label", "own"), "query_id").join(label, "vec_id")
+    marked = run.select("query_id", "rank", F.coalesce((F.col("own") == F.col("label")).cast("int"), F.lit(0)).alias("rel"))
+    total = label.groupBy("label").agg((F.count("*") - 1).alias("n_rel"))
+    return retrieval.evaluate_marked(marked, label.where("vec_id % 20 = 0").join(total, "label").select(F.col("vec_id").alias("query_id"), "n_rel"))
 
 
 _EVAL = f"""WITH run AS ({_vector_sql('list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])', 'DESC')}), rel AS (SELECT a.vec_id AS query_id, b.vec_id FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id < 5),
@@ -373,13 +371,13 @@ _EVAL = f"""WITH run AS ({_vector_sql('list_cosine_similarity(a.embedding::DOUBL
 
 @query(_EVAL + " SELECT query_id, k, round(p, 6) AS precision, round(r, 6) AS recall, round(rr, 6) AS rr, round(ndcg, 6) AS ndcg FROM x")
 def eval_per_query(t):
-    e = retrieval.evaluate(_run(t), _relevant(t))
+    e = _evaluated(t)
     return e.select("query_id", "k", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "rr", "ndcg")))
 
 
 @query(_EVAL + " SELECT k, round(avg(p), 6) AS precision, round(avg(r), 6) AS recall, round(avg(rr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM x GROUP BY 1")
 def eval_macro(t):
-    e = retrieval.evaluate(_run(t), _relevant(t)).groupBy("k")
+    e = _evaluated(t).groupBy("k")
     return e.agg(F.round(F.avg("precision"), 6).alias("precision"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("rr"), 6).alias("mrr"), F.round(F.avg("ndcg"), 6).alias("ndcg"))
 
 
