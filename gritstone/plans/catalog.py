@@ -232,12 +232,12 @@ def hit_rate(t):
 
 @query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN left(text, 20) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 24 PRECEDING AND CURRENT ROW) AS ctx FROM conversations")
 def conversation_context(t):
-    return relational.context(t("conversations"), F.when(F.col("role") == "user", F.substring("text", 1, 20)), "ctx").select("conv_id", "turn", "ctx")
+    return relational.context(t("conversations"), F.when(F.col("role") == "user", F.col("text")), "ctx").select("conv_id", "turn", "ctx")
 
 
 @query("SELECT conv_id, max_by(left(text, 40), turn) AS latest FROM conversations WHERE role = 'user' GROUP BY 1")
 def latest_user_message(t):
-    return t("conversations").where("role = 'user'").groupBy("conv_id").agg(F.max_by(F.substring("text", 1, 40), "turn").alias("latest"))
+    return t("conversations").where("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("latest"))
 
 
 @query("SELECT o_custkey, o_orderkey, n FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n <= 3")
