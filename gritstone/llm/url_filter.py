@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Up to so many rules the index is a literal in the plan; larger lists are a table that is joined by token.
 INLINE_RULES = 256
+#: Host rules have this rank at least.
+HOST_RANK = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -29,14 +31,19 @@ def host_rule(host_path: str, verdict: str) -> Rule:
     """A rule for a host with its subdomains, and for the paths that start with its path."""
     host, slash, path = host_path.partition("/")
     pattern = rf"^(?:[^/?#]*\.)?{re.escape(host)}{re.escape(slash + path)}"
-    return Rule(host_path, pattern, verdict, _tokens(host_path), 1_000_000 + len(host_path))
+    return Rule(host_path, pattern, verdict, _tokens(host_path), HOST_RANK + len(host_path))
 
 
 def pattern_rule(name: str, pattern: str, verdict: str, literals: Sequence[str]) -> Rule:
-    """A rule of a pattern; each of literals is a whole token of every url that it matches."""
+    """A rule of a pattern, searched in the lower-cased url; each of literals is a whole token of every url that it matches."""
     return Rule(name, pattern, verdict, tuple(literals), len(pattern))
 
 
+def _matches(rank: Column, pattern: Column) -> Column:
+    """Host rules are true to the case of the path, other patterns are not."""
+    return F.call_function("regexp_like", F.when(rank >= HOST_RANK, F.col("key")).otherwise(F.col("low")), pattern)
+
+
 def _tokens(text: str) -> tuple[str, ...]:
     return tuple(re.findall("[a-z0-9]+", text.lower()))
 
@@ -94,13 +101,13 @@ def url_filter(pages: DataFrame, rules: Sequence[Rule] | None = None, inline: bo
 
     Each rule is filed under its rarest literal token, counted over all urls. The tokens of a url fetch the
     rules filed under them; only those run their regular expression, and the match of highest rank wins: host
-    rules by length before the other patterns. `rule` names a host rule only; matched_by names any rule.
+    rules by length before the other patterns. The path's case counts for host rules only. `rule` names a host rule only; matched_by names any rule.
     Null urls and urls without `://` have empty host and path, and get the default. Only page_id and url are
     read; repeated rows are judged alike; an empty table gives no rows.
     """
     rules = list(default_rules() if rules is None else rules)
     parts = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.lower(_rest_of(F.col("url"))).alias("rest"))
-    parts = parts.withColumn("key", F.concat("host", "path", "rest"))
+    parts = parts.withColumn("key", F.concat("host", "path", "rest")).withColumn("low", F.lower("key"))
     index: dict[str, list[Rule]] = {}
     for token, rule in zip(rarest_tokens(rules, token_counts(pages, rules)), rules, strict=True):
         index.setdefault(token, []).append(rule)
@@ -110,17 +117,17 @@ def url_filter(pages: DataFrame, rules: Sequence[Rule] | None = None, inline: bo
         fields = ("token", "rank", "name", "verdict", "pattern")
         table = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(fields, e, strict=True))) for e in entries))
         fetched = F.filter(table, lambda e: F.array_contains(F.col("tokens"), e["token"]))
-        hits = F.filter(F.col("fetched"), lambda e: F.call_function("regexp_like", F.col("key"), e["pattern"]))
+        hits = F.filter(F.col("fetched"), lambda e: _matches(e["rank"], e["pattern"]))
         judged = parts.withColumn("tokens", _url_tokens(F.col("url"))).withColumn("fetched", fetched)
         judged = judged.withColumn("best", F.array_max(F.transform(hits, lambda e: F.struct(e["rank"], e["name"], e["verdict"]))))
     else:
         spark = pages.sparkSession
         table = spark.createDataFrame(entries, "token string, rank int, name string, verdict string, pattern string")
-        urls = parts.select("url", "key", F.explode(_url_tokens(F.col("url"))).alias("token"))
-        hits = urls.join(table, "token").where(F.expr("regexp_like(key, pattern)"))
+        urls = parts.select("url", "key", "low", F.explode(_url_tokens(F.col("url"))).alias("token"))
+        hits = urls.join(table, "token").where(_matches(F.col("rank"), F.col("pattern")))
         best = hits.groupBy("url").agg(F.max(F.struct("rank", "name", "verdict")).alias("best"))
         judged = parts.join(best, "url", "left")
-    is_host = F.col("best.rank") >= 1_000_000
+    is_host = F.col("best.rank") >= HOST_RANK
     return judged.select(
         "page_id", "host", "path", F.when(is_host, F.col("best.name")).alias("rule"),
         F.coalesce("best.verdict", F.lit(default)).alias("verdict"), F.col("best.name").alias("matched_by"),

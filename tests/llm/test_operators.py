@@ -285,6 +285,15 @@ def test_urls(spark):
     assert url_filter.url_filter(d.limit(0)).count() == 0
 
 
+def test_urls_in_upper_case(spark):
+    urls = ["http://x.com/Casino/", "http://x.com/SETUP.EXE", "http://x.com/WP-Login.php?A", "http://example.com/DE/", "http://example.com/de/"]
+    d = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for inline in (True, False):
+        got = url_filter.url_filter(d, inline=inline).orderBy("page_id").collect()
+        assert [(r["matched_by"], r["verdict"]) for r in got] == [("casino", "block"), ("executable", "block"), ("wp-login", "block"), (None, "allow"), ("example.com/de/", "block")]
+        assert got[1]["path"] == "/SETUP.EXE"
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     rows = [(i, rng.integers(-3, 4, 8).astype(float).tolist()) for i in range(300)] + [(300, None), (320, [0.0] * 8), (340, [1.0, None, *[0.0] * 6]), (360, [float("nan"), *[1.0] * 7]), (None, [1.0] * 8), (380, [float("inf")] * 8)]
