@@ -47,8 +47,8 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sampled_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per document: lengths, checksums, log probabilities and inclusion scores of its sampled segmentations."""
-    return segmentation.sample_segmentations(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), keep_ids=False)
+    """A row per document: ids, lengths, checksums, log probabilities and inclusion scores of its sampled segmentations."""
+    return segmentation.sample_segmentations(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

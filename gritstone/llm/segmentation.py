@@ -30,6 +30,23 @@ _MASK = (1 << 64) - 1
 _FILTER_BITS = 20
 
 
+#: Texts that a model without normaliser, and with a space before each text, gives back as they are.
+_PROBES = ("a", " a", "a ", "a  b", "\ufb01\uff21\u2460", "e\u0301", "\u00a0\t", "a\nb")
+
+
+def _check_model(model, path: str) -> None:
+    """Sampling rests on two things: no piece crosses the parts of a text, and texts are not normalised."""
+    for i in range(model.get_piece_size()):
+        if model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i):
+            continue
+        piece = model.id_to_piece(i)
+        if SPACE in piece.lstrip(SPACE) or ("\n" in piece and piece != "\n"):
+            raise ValueError(f"{path}: the piece {piece!r} crosses the parts of a text; such models can't be sampled")
+    changed = [t for t in _PROBES if model.decode(model.encode(t)) != t]
+    if changed:
+        raise ValueError(f"{path}: the model normalises texts ({changed[0]!r}); such models can't be sampled")
+
+
 class Pieces:
     """The vocabulary of a SentencePiece model as a distribution over pieces.
 
@@ -41,6 +58,7 @@ class Pieces:
         import sentencepiece
 
         self.model = sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        _check_model(sp, path)
         n = sp.get_piece_size()
         plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         score = np.array([sp.get_score(i) for i in plain])
@@ -130,34 +148,20 @@ class Lattice:
         spelled = np.array([len(s) for s in self.spelled], float)[which] * pieces.byte_weight if len(bare) else np.zeros(0)
         found.insert(0, (1, bare, pieces.size + which, spelled))
 
-        by_size = {size: np.full(n, -np.inf) for size, *_ in found}
-        for size, src, _, w in found:
-            by_size[size][src] = w
-        beta = np.zeros(n + pieces.longest + 1)  # log of the mass from a state to the end of its part
-        order = np.argsort(self.left, kind="stable")
-        cuts = np.searchsorted(self.left[order], np.arange(1, (self.left.max() if n else 0) + 2))
-        for level in range(1, len(cuts)):
-            states = order[cuts[level - 1] : cuts[level]]
-            if not len(states):
-                continue
-            mass = np.full(len(states), -np.inf)
-            for size, w in by_size.items():
-                if size <= level:
-                    mass = np.logaddexp(mass, w[states] + (beta[states + size] if size < level else 0.0))
-            beta[states] = mass
+        beta = self._masses(found, n)
 
         degree = np.zeros(n + 1, np.int64)
         for _, src, _, _ in found:
             degree[src] += 1
         self.first = np.cumsum(degree) - degree
         edges = int(degree.sum())
-        self.dst, self.ids, self.final = np.empty(edges, np.int64), np.empty(edges, np.int64), np.empty(edges, bool)
+        self.dst, self.ids, self.final = np.empty(edges, np.int32), np.empty(edges, np.int32), np.empty(edges, bool)
         self.logp, self.upto = np.empty(edges), np.empty(edges)
         slot, run = self.first.copy(), np.zeros(n)
         for size, src, ids, w in reversed(found):  # long pieces first: mostly the likelier
             to, final = slot[src], self.left[src] == size
             slot[src] += 1
-            logp = np.minimum(w + np.where(final, 0.0, beta[src + size]) - beta[src], 0.0)
+            logp = np.minimum(w + beta[np.where(final, n, src + size)] - beta[src], 0.0)
             run[src] += np.exp(logp)
             self.dst[to], self.ids[to], self.final[to], self.logp[to], self.upto[to] = src + size, ids, final, logp, run[src]
         self.upto[self.first[1:] - 1] = 2.0
@@ -165,6 +169,27 @@ class Lattice:
         self.ext_flat = np.concatenate([np.arange(pieces.size), np.array([i for s in self.spelled for i in s], np.int64)])
         self.ext_start = np.cumsum(self.ext_size) - self.ext_size
 
+    def _masses(self, found: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], n: int) -> np.ndarray:
+        """The log of the mass from each state to the end of its part, the states nearest to an end first."""
+        src = np.concatenate([s.astype(np.int32) for _, s, _, _ in found])
+        to = np.concatenate([(s + size).astype(np.int32) for size, s, _, _ in found])
+        w = np.concatenate([w for _, _, _, w in found])
+        far = self.left[src]
+        to[self.left[src] == np.concatenate([np.full(len(s), size) for size, s, _, _ in found])] = n  # an end: mass 1
+        order = np.lexsort((src, far))
+        src, to, w, far = src[order], to[order], w[order], far[order]
+        beta = np.zeros(n + 1)
+        cuts = [0, *(np.flatnonzero(np.diff(far)) + 1).tolist(), len(far)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            mass, own = w[a:b] + beta[to[a:b]], src[a:b]
+            first = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1])
+            top = np.maximum.reduceat(mass, first)
+            size = np.diff(np.concatenate([first, [b - a]]))
+            beta[own[first]] = top + np.log(np.add.reduceat(np.exp(mass - np.repeat(top, size)), first))
+        return beta
+
     def walk(self, parts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A segmentation of each of parts, drawn with its random key: edges, part after part, and their number."""
         state, active = self.start[parts], np.arange(len(parts))
@@ -343,8 +368,9 @@ def sampled(pieces: Pieces, texts: list[str | None], keys: list[int], k: int) ->
     """The k sampled segmentations of each text, seeded by its key. An empty text has one, of no piece."""
     split = [parts_of(t or "") for t in texts]
     every = [p for s in split for p in s]
-    distinct = list(dict.fromkeys(every))
-    flat = np.fromiter(map(dict(zip(distinct, range(len(distinct)), strict=True)).__getitem__, every), np.int64, len(every))
+    place: dict[str, int] = {}
+    flat = np.fromiter((place.setdefault(p, len(place)) for p in every), np.int64, len(every))
+    distinct = list(place)
     empty = [Sample(np.zeros(0, np.int64), 0.0, 0.0, 1.0)]
     if not len(flat):
         return [list(empty) for _ in texts]
@@ -373,29 +399,39 @@ def sampled(pieces: Pieces, texts: list[str | None], keys: list[int], k: int) ->
     return out
 
 
+#: Bytes of text whose lattices and draws are held at once.
+_SLICE = 2 << 20
+
+
+def _lists(values: np.ndarray, size: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(values))
+
+
 def _encoder(path: str, k: int, temperature: float, keep_ids: bool, seed: int) -> Callable:
+    def encoded(pieces: Pieces, batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
+        keys = [xxhash.xxh3_64_intdigest(str(i) if i is not None else "text " + (t or ""), seed) for i, t in zip(ids, texts, strict=True)]
+        found, round_trip, number = [], [], []
+        for text, samples in zip(texts, sampled(pieces, texts, keys, k), strict=True):
+            whole = (text or "").encode()
+            round_trip.append(all(pieces.decode(s.ids) == whole for s in samples))
+            number.append(len(samples))
+            found += [Sample(s.ids.astype(np.int32), s.logp, s.perturbed, s.inclusion) for s in samples]
+        n, size = np.array(number, np.int64), np.array([len(s.ids) for s in found], np.int64)
+        columns = {
+            "n_samples": pa.array(n.astype(np.int32)), "n_ids": _lists(size, n), "crc32s": _lists(np.array([_crc(s.ids) for s in found], np.int64), n),
+            "logps": _lists(np.array([s.logp for s in found]), n), "perturbed": _lists(np.array([s.perturbed for s in found]), n),
+            "inclusion": _lists(np.array([s.inclusion for s in found]), n), "round_trip": pa.array(round_trip, pa.bool_()),
+        }
+        if keep_ids:
+            inner = _lists(np.concatenate([s.ids for s in found]), size)
+            columns["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), inner)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns.values()], ["doc_id", *columns])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(path, temperature)
-        for batch in slices(batches, budget=5 << 20):
-            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            keys = [xxhash.xxh3_64_intdigest(str(i) if i is not None else "text " + (t or ""), seed) for i, t in zip(ids, texts, strict=True)]
-            found = sampled(pieces, texts, keys, k)
-            rows: dict[str, list] = {c: [] for c in ("n_samples", "n_ids", "crc32s", "logps", "perturbed", "inclusion", "round_trip", "ids")}
-            for text, samples in zip(texts, found, strict=True):
-                as_bytes = [np.ascontiguousarray(s.ids, "<u4") for s in samples]
-                whole = (text or "").encode()
-                rows["n_samples"].append(len(samples))
-                rows["n_ids"].append([len(s.ids) for s in samples])
-                rows["crc32s"].append([_crc(x) for x in as_bytes])
-                rows["logps"].append([s.logp for s in samples])
-                rows["perturbed"].append([s.perturbed for s in samples])
-                rows["inclusion"].append([s.inclusion for s in samples])
-                rows["round_trip"].append(all(pieces.decode(s.ids) == whole for s in samples))
-                if keep_ids:
-                    rows["ids"].append([s.ids.tolist() for s in samples])
-            types = {"n_samples": pa.int32(), "round_trip": pa.bool_(), "n_ids": pa.list_(pa.int64()), "crc32s": pa.list_(pa.int64()), "ids": pa.list_(pa.list_(pa.int32()))}
-            names = [c for c in rows if c != "ids" or keep_ids]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(rows[c], types.get(c, pa.list_(pa.float64()))) for c in names)], ["doc_id", *names])
+        for batch in slices(batches, budget=_SLICE):
+            yield encoded(pieces, batch)  # lattices and draws are gone by now
 
     return run
 
@@ -403,7 +439,7 @@ def _encoder(path: str, k: int, temperature: float, keep_ids: bool, seed: int) -
 def _crc(ids: np.ndarray) -> int:
     import zlib
 
-    return zlib.crc32(ids.tobytes())
+    return zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())
 
 
 def sample_segmentations(docs: DataFrame, model: str, k: int = 2, temperature: float = 1.0, keep_ids: bool = True, seed: int = 0) -> DataFrame:
@@ -414,6 +450,8 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 2, temperature: f
     tells that each decodes to the text (not for texts that hold the mark of a space themselves). Draws depend on
     the seed, doc_id and text alone (the text where doc_id is null), so reruns and repeated rows agree. Null
     and empty texts have one segmentation, of no piece. Other columns are not read; an empty table gives no rows.
+    A worker holds the lattices of 2 MB of text, or of one text that is longer. A model with a normaliser, or
+    with a piece that crosses the parts of a text, is refused with an error.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_samples int, n_ids array<long>, crc32s array<long>, logps array<double>, perturbed array<double>, inclusion array<double>, round_trip boolean"
