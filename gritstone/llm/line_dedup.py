@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gritstone.llm.common import stored, text_of
+from gritstone.llm.common import free_names, scratch, stored, text_of
 
 #: Fixed value: what stands for a variable field.
 FIELD = "<*>"
@@ -36,6 +36,10 @@ def line_templates(docs: DataFrame, min_docs: int = 3, depth: int = 3, similarit
     most lines have are constant, with those that as many have; any other token is a field. So a value of a
     field is no constant, however often it recurs, if the line's own constants recur more. Lines with the same
     constants are one template. It is recurring if min_docs documents have it.
+
+    Null texts are one empty line, and empty lines are no line here; only doc_id and text are read, whatever else docs
+    holds. Repeated rows are one document, null ids one id. A long text is as many rows as it has lines. An
+    empty table gives no rows.
     """
     base = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(plain_lines()).alias("i", "line"))
     tokens = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
@@ -76,22 +80,26 @@ def line_templates(docs: DataFrame, min_docs: int = 3, depth: int = 3, similarit
     return drops.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("i")).alias("drop"))
 
 
-def line_dedup(docs: DataFrame, **options) -> DataFrame:
-    """docs with text without the lines of recurring templates, and with n_lines and n_dropped.
+def line_dedup(docs: DataFrame, counts: bool = True, **options) -> DataFrame:
+    """docs with text without the lines of recurring templates, and (if counts) with n_lines and n_dropped.
 
     Of a template the first line, by doc_id, the hash of its text and its place, stays; every other line goes, in the
     same document too. Lines of fewer than min_tokens tokens go only where they recur as they are; empty lines stay. Null texts count as
     empty: one empty line, and text comes back empty. Documents are rows by (doc_id, text): repeated rows
     are one document, lose the same lines and all come back; null ids match each other. Other columns
-    pass through (n_lines and n_dropped of the input are replaced). An empty table gives no rows. Each row
-    comes back, with an empty text if each of its lines went.
+    pass through as they are, whatever their names (with counts, n_lines and n_dropped of the input are replaced). Texts of any
+    length are read whole. An empty table gives no rows. Each row comes back, with an empty text if each of its lines went.
     """
-    drops = stored(line_templates(docs, **options).select(F.col("doc_id").alias("id_"), F.col("th").alias("th_"), F.col("drop").alias("drop_")), "line-drops")
+    added = ["n_lines", "n_dropped"] if counts else []
+    own = docs.select(*(c for c in docs.columns if c not in added))
+    hash_, id_, th_, drop_ = free_names(own, "hash_of_text", "id_of_drop", "th_of_drop", "places_of_drop")
+    with scratch(docs.sparkSession):
+        drops = line_templates(docs.select("doc_id", "text"), **options)
+        drops = stored(drops.select(F.col("doc_id").alias(id_), F.col("th").alias(th_), F.col("drop").alias(drop_)), "line-drops", keep=True)
     drops = drops.hint("merge")  # the list grows with docs: one plan for every size
-    keyed = docs.drop("n_lines", "n_dropped").withColumn("k_", F.xxhash64("text"))
-    both = keyed.join(drops, keyed["doc_id"].eqNullSafe(drops["id_"]) & (keyed["k_"] == drops["th_"]), "left")
-    kept = F.filter(_lines(), lambda x, i: ~F.array_contains(F.coalesce("drop_", F.array().cast("array<int>")), i))
-    new = F.when(F.col("drop_").isNull(), text_of("text")).otherwise(F.array_join(kept, "\n"))
-    counts = {"n_lines": F.size(_lines()).cast("long"), "n_dropped": F.coalesce(F.size("drop_"), F.lit(0)).cast("long")}
-    out = both.withColumns(counts).withColumn("text", new)
-    return out.select(*(c for c in docs.columns if c not in counts), *counts)
+    keyed = own.withColumn(hash_, F.xxhash64("text"))
+    both = keyed.join(drops, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(hash_) == F.col(th_)), "left")
+    kept = F.filter(_lines(), lambda x, i: ~F.array_contains(F.coalesce(drop_, F.array().cast("array<int>")), i))
+    new = F.when(F.col(drop_).isNull(), text_of("text")).otherwise(F.array_join(kept, "\n")).alias("text")
+    numbers = {"n_lines": F.size(_lines()).cast("long"), "n_dropped": F.coalesce(F.size(drop_), F.lit(0)).cast("long")}
+    return both.select(*(new if c == "text" else F.col(c) for c in own.columns), *(numbers[c].alias(c) for c in added))

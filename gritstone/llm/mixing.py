@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gritstone.llm.common import SPACES, stored, text_of
+from gritstone.llm.common import SPACES, free_names, scratch, stored, text_of
 
 #: Points of the schedule: n * GOLDEN mod 2**31, GOLDEN being 2**31 divided by the golden ratio, in whole numbers.
 MODULUS, GOLDEN = 1 << 31, 1_327_217_885
@@ -37,7 +37,8 @@ def running_before(df: DataFrame, group: str, bucket: str, order: list[Column],
     starts = starts.select(group, bucket, (F.col("b_") + F.col("h_")).alias("b_"))
     rows = W.partitionBy(group, bucket).orderBy(*order)
     own = F.coalesce(F.sum("v_").over(rows.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumns({"place": F.row_number().over(rows), "o_": own}).join(starts, [group, bucket]).withColumn(name, F.col("b_") + F.col("o_")).drop("v_", "b_", "o_")
+    # starts grows with df: never broadcast, and the window has dealt df by the same keys
+    return df.withColumns({"place": F.row_number().over(rows), "o_": own}).join(starts.hint("merge"), [group, bucket]).withColumn(name, F.col("b_") + F.col("o_")).drop("v_", "b_", "o_")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
@@ -76,7 +77,7 @@ class Mixture:
 
     def pieces(self) -> DataFrame:
         """The mix itself, in order of (slot, k, r, start): words [from_word, to_word) of each document."""
-        both = self.segments().where("blk is not null").join(self.slots, ["k", "blk"]).where("greatest(start, a) < least(start + size, b)")
+        both = self.segments().where("blk is not null").join(self.slots.hint("merge"), ["k", "blk"]).where("greatest(start, a) < least(start + size, b)")
         return both.select("slot", "k", "r", "epoch", "doc_id", "start", F.expr("greatest(start, a) - start").alias("from_word"), F.expr("least(start + size, b) - start").alias("to_word"))
 
     def totals(self) -> DataFrame:
@@ -84,7 +85,7 @@ class Mixture:
         used = self.slots.groupBy("k", "blk", "a", "b").agg(F.count("*").alias("times"))
         words = F.expr("coalesce(greatest(least(start + size, b) - greatest(start, a), 0) * times, 0)")
         same = ["doc_id", "key", "k", "bucket", "place", "size", "source_size", "target"]
-        return self.segments().join(used, ["k", "blk"], "left").groupBy(*same).agg(F.sum(words).cast("long").alias("taken")).drop("k", "bucket", "place")
+        return self.segments().join(used.hint("merge"), ["k", "blk"], "left").groupBy(*same).agg(F.sum(words).cast("long").alias("taken")).drop("k", "bucket", "place")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, block: int = 2048, key: Column | None = None) -> Mixture:
@@ -99,8 +100,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, blo
 
     Null texts and texts without words have size 0 and are never taken. Null sources are one source. Repeated
     rows are documents of their own; rows that share a doc_id keep the same place among the others. Reruns
-    agree. An empty table gives no rows. `key` is a column to carry through to totals().
+    agree. A text of any length is counted whole, and fills as many blocks as it needs. Only doc_id, source and
+    text are read (and what key reads). An empty table gives no rows. `key` is a column to carry through to totals().
+    The table of sources is ranked by one task: it should hold sources, not a row for each document.
     """
+    with scratch(docs.sparkSession):
+        return _mix(docs, weights, cap, block, key)
+
+
+def _mix(docs: DataFrame, weights: tuple[int, ...], cap: int, block: int, key: Column | None) -> Mixture:
     columns = ["doc_id", "source", word_count().alias("size"), (key if key is not None else F.lit(None).cast("long")).alias("key")]
     hashed = docs.select(*columns).withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     sizes = stored(hashed, "mix-sizes")
@@ -110,7 +118,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, blo
     bucket = F.shiftright(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), 32 - bits)
     known = sizes.withColumn("bucket", bucket).join(sources.withColumnRenamed("source", "s_"), F.col("source").eqNullSafe(F.col("s_"))).drop("s_", "source")
     placed = running_before(stored(known, "mix-known"), "k", "bucket", [F.col("h"), F.col("doc_id"), F.col("size")], F.col("size"), "start")
-    return Mixture(stored(placed, "mix-docs"), _schedule(sources, total, block), block)
+    return Mixture(stored(placed, "mix-docs", keep=True), _schedule(sources, total, block), block)
 
 
 def _schedule(sources: DataFrame, total: int, block: int) -> DataFrame:
@@ -138,19 +146,23 @@ def _schedule(sources: DataFrame, total: int, block: int) -> DataFrame:
     filled = filled.withColumns({"epoch": F.expr("r div per_epoch"), "blk": F.expr("r % per_epoch")}).withColumn("a", F.col("blk") * block)
     full = F.least(F.col("a") + block, "source_size")
     filled = filled.withColumn("b", F.when(F.col("epoch") == F.col("epochs"), F.least(full, "over")).otherwise(full))
-    return stored(filled.select("k", "r", "slot", "epoch", "blk", "a", "b"), "mix-slots")
+    return stored(filled.select("k", "r", "slot", "epoch", "blk", "a", "b"), "mix-slots", keep=True)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs as often as the mix takes them, to the nearest whole number; columns as in docs.
 
-    A document of which less than half is taken goes. Rows that are equal in doc_id, source and text are
-    one row that gets the copies of all. Null ids, sources and texts are matched as equal.
+    A document of which less than half is taken goes, as do null and empty texts, which have no words. Rows that are equal
+    in doc_id, source and text are one row that gets the copies of all; of their other columns one row's are kept.
+    Null ids, sources and texts are matched as equal. Other columns pass through, whatever their names; texts are whole. An
+    empty table gives no rows.
     """
+    key_, id_, of_, copies_, n_ = free_names(docs, "key_of_mix", "id_of_mix", "key_of_copies", "copies_of_mix", "n_of_mix")
     key = F.xxhash64("doc_id", "source", "text")
-    plan = mix(docs, key=key, **options).totals()
-    copies = plan.groupBy("doc_id", "key").agg(F.sum(F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0)).cast("int").alias("copies"))
-    copies = stored(copies.where("copies > 0").withColumnRenamed("doc_id", "id_"), "mix-copies")
-    whole = docs.withColumn("key", key).dropDuplicates(["doc_id", "key"])
-    both = whole.join(copies, (whole["key"] == copies["key"]) & whole["doc_id"].eqNullSafe(copies["id_"]))
-    return both.withColumn("n_", F.explode(F.sequence(F.lit(1), "copies"))).select(*(whole[c] for c in docs.columns))
+    with scratch(docs.sparkSession):
+        plan = mix(docs.select("doc_id", "source", "text"), key=key, **options).totals()
+        copies = plan.groupBy(F.col("doc_id").alias(id_), F.col("key").alias(of_)).agg(F.sum(F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0)).cast("int").alias(copies_))
+        copies = stored(copies.where(F.col(copies_) > 0), "mix-copies", keep=True)
+    whole = docs.withColumn(key_, key).dropDuplicates(["doc_id", key_])
+    both = whole.join(copies.hint("merge"), (F.col(key_) == F.col(of_)) & F.col("doc_id").eqNullSafe(F.col(id_)))
+    return both.withColumn(n_, F.explode(F.sequence(F.lit(1), copies_))).select(*docs.columns)

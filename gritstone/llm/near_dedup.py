@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gritstone.llm.common import mix64, slices, stored
+from gritstone.llm.common import free_names, mix64, scratch, slices, stored
 
 MANTISSA = 10
 #: Rows of a bucket that are compared with each other in one piece.
@@ -310,6 +310,11 @@ def components(edges: DataFrame) -> DataFrame:
     distinct edges between what is left; so a round reads only edges that the rounds before did not settle. The smallest node of a component is
     never merged into another. Each step is a stored table.
     """
+    with scratch(edges.sparkSession):
+        return _components(edges)
+
+
+def _components(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both, state = stored(both, "cc-edges"), None
     while True:
@@ -319,11 +324,11 @@ def components(edges: DataFrame) -> DataFrame:
             state = lead.select(F.col("at").alias("node"), F.col("far").alias("label"))
         else:
             state = stored(state.join(lead, F.col("label") == F.col("at"), "left").select("node", F.coalesce("far", "label").alias("label")), "cc-state")
-        for x, y in ("ab", "ba"):
-            both = stored(both.join(lead, F.col(x) == F.col("at")).select(F.col("far").alias(x), y).where("a <> b"), "cc-merged")
-        both = stored(both.distinct(), "cc-edges")
+        ends = lead.select(F.col("at").alias("at_b"), F.col("far").alias("far_b"))
+        both = both.join(lead, F.col("a") == F.col("at")).join(ends, F.col("b") == F.col("at_b")).select(F.col("far").alias("a"), F.col("far_b").alias("b"))
+        both = stored(both.where("a <> b").distinct(), "cc-edges")
         if both.isEmpty():
-            return state
+            return stored(state, "cc-labels", keep=True)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, registers: int = 125, rows: int | None = None, slack: float = 0.16) -> DataFrame:
@@ -346,10 +351,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, register
     share a doc_id are linked with each other. A null doc_id is never linked and stays, with a null component_id.
     Other columns are not read. An empty table gives no rows.
     """
+    with scratch(docs.sparkSession):
+        return _near_duplicates(docs, words, percent, registers, rows, slack)
+
+
+def _near_duplicates(docs: DataFrame, words: int, percent: int, registers: int, rows: int | None, slack: float) -> DataFrame:
     rows = rows or (5 if percent >= 85 else 4)
     m, least = registers // rows * rows, percent / 100 - slack
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stored(read.mapInArrow(_signer(words, m, rows), "doc_id long, n long, whole binary, regs binary, bands array<long>"), "near-signed")
+    signed = stored(read.mapInArrow(_signer(words, m, rows), "doc_id long, n long, whole binary, regs binary, bands array<long>"), "near-signed", keep=True)
     classes = signed.where("n > 0 and doc_id is not null").groupBy("whole").agg(F.min("doc_id").alias("node"))
     classes = stored(classes, "near-classes")
     heads = signed.join(classes.withColumnRenamed("whole", "w_"), (F.col("whole") == F.col("w_")) & (F.col("doc_id") == F.col("node")))
@@ -400,7 +410,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, register
             links = stored(links.unionByName(new), "near-links-so-far")
             labels = components(links)
     node = classes.join(labels.withColumnRenamed("node", "n_"), F.col("node") == F.col("n_"), "left").select("whole", F.coalesce("label", "node").alias("c_"))
-    node = stored(node, "near-components")
+    node = stored(node, "near-components", keep=True)
     out = signed.select("doc_id", "n", "whole").join(node, "whole", "left")
     component = F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.coalesce("c_", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
@@ -484,6 +494,13 @@ def _pieces(rows: DataFrame, whole: bool) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stay: of each component the smallest doc_id; columns as in docs."""
-    gone = stored(near_duplicates(docs, **options).where("not kept").select("doc_id").distinct(), "near-gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs that stay: of each component the smallest doc_id; columns as in docs, whatever their names.
+
+    Rows that share the doc_id that stays all stay. Null and empty texts and null ids stay; texts are compared whole; an empty
+    table gives no rows.
+    """
+    (gone_,) = free_names(docs, "id_of_gone")
+    with scratch(docs.sparkSession):
+        found = near_duplicates(docs.select("doc_id", "text"), **options).where("not kept")
+        gone = stored(found.select(F.col("doc_id").alias(gone_)).distinct(), "near-gone", keep=True)
+    return docs.join(gone, F.col("doc_id") == F.col(gone_), "left_anti").select(*docs.columns)

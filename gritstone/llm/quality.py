@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gritstone.llm.common import slices, stored
+from gritstone.llm.common import free_names, scratch, slices, stored
 
 #: Buckets for words; the structure statistics follow them.
 WORDS = 1 << 16
@@ -133,24 +133,30 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> FactorisationMachine:
     """Fit on the labelled documents whose crc32(doc_id) mod 5 is not 0: the max_train first of them by md5(doc_id).
 
-    The features of that bounded sample come to the driver, the texts do not.
+    The features of that bounded sample come to the driver, the texts do not. Labels other than 0 and 1, and null ids, take no
+    part; a repeated label counts once, a document labelled both ways once each way. Of rows that share a
+    doc_id one is read, the least by the md5 of its text; null and empty texts have the features of a text without
+    words. Without labelled documents every score will be 0.5. Other columns are not read.
     """
     key = F.col("doc_id").cast("string").cast("binary")
-    known = labels.where("quality in (0, 1) and doc_id is not null").where(F.crc32(key) % 5 != 0).select("doc_id", F.col("quality").cast("int").alias("quality"), F.md5(key).alias("order_"))
-    sample = stored(known.orderBy("order_", "quality").limit(max_train), "quality-sample")
-    size = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
-    texts = docs.select(F.col("doc_id").alias("id_"), "text", size.alias("n_chars"))
-    found = texts.join(F.broadcast(sample), F.col("id_") == F.col("doc_id")).select("order_", "quality", "text", "n_chars")
-    rows = sorted(found.mapInArrow(_featurise, "order_ string, quality int, i binary, x binary").collect())
+    known = labels.where("quality in (0, 1) and doc_id is not null").where(F.crc32(key) % 5 != 0).select("doc_id", F.col("quality").cast("int").alias("quality"), F.md5(key).alias("order_")).distinct()
+    with scratch(docs.sparkSession):
+        sample = stored(known.orderBy("order_", "quality").limit(max_train), "quality-sample")
+        size = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
+        texts = docs.select(F.col("doc_id").alias("id_"), "text", size.alias("n_chars"))
+        found = texts.join(F.broadcast(sample), F.col("id_") == F.col("doc_id")).select("order_", "quality", "text", "n_chars")
+        rows = found.select("order_", "quality", F.struct(F.md5("text").alias("by"), "n_chars", "text").alias("doc")).groupBy("order_", "quality").agg(F.min("doc").alias("doc"))
+        rows = rows.select("order_", "quality", "doc.text", "doc.n_chars").mapInArrow(_featurise, "order_ string, quality int, i binary, x binary").collect()
+    rows = sorted(rows)
     pairs = [(np.frombuffer(r["i"], np.int32).astype(np.int64), np.frombuffer(r["x"], np.float32).astype(np.float64)) for r in rows]
     return fit(pairs, np.array([r["quality"] for r in rows], float))
 
 
-def _scorer(model: FactorisationMachine, threshold: float, whole: list[str] | None) -> Callable:
+def _scorer(model: FactorisationMachine, threshold: float, size: str, whole: list[str] | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = _Buckets()
         for batch in slices(batches):
-            n = batch.column("n_chars_").to_pylist()
+            n = batch.column(size).to_pylist()
             score = model.score([features(t, c, buckets) for t, c in zip(batch.column("text").to_pylist(), n, strict=True)])
             if whole is not None:
                 yield batch.select(whole).filter(pa.array(score >= threshold))
@@ -161,8 +167,8 @@ def _scorer(model: FactorisationMachine, threshold: float, whole: list[str] | No
     return run
 
 
-def _with_size(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("n_chars_", (F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)).cast("long"))
+def _with_size(docs: DataFrame, name: str) -> DataFrame:
+    return docs.withColumn(name, (F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)).cast("long"))
 
 
 def score_quality(docs: DataFrame, model: FactorisationMachine, threshold: float = 0.3) -> DataFrame:
@@ -174,11 +180,15 @@ def score_quality(docs: DataFrame, model: FactorisationMachine, threshold: float
     Repeated rows score alike; an empty table gives no rows.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    read = _with_size(docs).select("doc_id", held.alias("held_out"), "text", "n_chars_")
+    read = _with_size(docs, "n_chars").select("doc_id", held.alias("held_out"), "text", "n_chars")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int"
-    return read.mapInArrow(_scorer(model, threshold, None), schema)
+    return read.mapInArrow(_scorer(model, threshold, "n_chars", None), schema)
 
 
 def keep_quality(docs: DataFrame, model: FactorisationMachine, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs with a score of threshold or more; columns as in docs."""
-    return _with_size(docs).mapInArrow(_scorer(model, threshold, docs.columns), docs.schema)
+    """The rows of docs with a score of threshold or more; columns as in docs, whatever their names.
+
+    Null and empty texts are scored as a text without words; repeated rows go or stay together; an empty table gives no rows.
+    """
+    (size,) = free_names(docs, "size_as_stated")
+    return _with_size(docs, size).mapInArrow(_scorer(model, threshold, size, docs.columns), docs.schema)
