@@ -8,6 +8,7 @@ The table of ids by rank is a file of its own. Blocks ascend by (shard, block) i
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gritstone.llm.common import slices, stored
+from gritstone.llm.common import scratch, slices, stored
 
 BLOCK_TOKENS = 1 << 16
 #: For each control byte: the bytes of its four values, and where each of 16 bytes of output comes from (-1: zero).
@@ -50,9 +51,38 @@ def decode_values(control: bytes, data: bytes, count: int) -> np.ndarray:
     return out.reshape(-1).view("<u4")[:count]
 
 
+# The normaliser and the pre-tokenizer of files whose texts may be cut into parts.
+_CUT_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_CUT_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_CUT_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def may_be_cut(path: str) -> bool:
+    """Whether the ids of a text are those of its parts: the file lower-cases, drops white space, sets runs of letters, single
+    digits and runs of other signs apart, and its special tokens all hold `<|`. Anything else in the file says no."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    steps = (found.get("pre_tokenizer") or {}).get("pretokenizers")
+    plain = not any(found.get(k) for k in ("post_processor", "truncation", "padding")) and not (found.get("model") or {}).get("dropout")
+    return plain and found.get("normalizer") == _CUT_NORMALIZER and steps == [_CUT_SPLIT, _CUT_BYTES] and all("<|" in t["content"] for t in found.get("added_tokens") or [])
+
+
+class _WholeTexts:
+    """Ids of whole texts, for files of any kind."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(pc.fill_null(texts, "").to_pylist(), add_special_tokens=False)]
+        return np.fromiter((i for f in found for i in f), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+
 class _Tokens:
     """Ids of the parts of a text between spaces and line feeds: a tokenizer that drops white space makes the same ids of
-    the parts as of the whole. Forgets all once it holds `most` parts."""
+    the parts as of the whole (see may_be_cut). Forgets all once it holds `most` parts."""
 
     def __init__(self, path: str, most: int = 1_500_000):
         from tokenizers import Tokenizer
@@ -100,8 +130,9 @@ def _tokenise(path: str, end_id: int, kind: str) -> Callable:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokens, end = _Tokens(path), np.array([end_id], kind).tobytes()
-        for batch in slices(batches, budget=8 << 20):
+        cut, end = may_be_cut(path), np.array([end_id], kind).tobytes()
+        tokens = _Tokens(path) if cut else _WholeTexts(path)
+        for batch in slices(batches, budget=(8 if cut else 1) << 20):
             ids, count = tokens.ids(batch.column("text"))
             whole, at = ids.astype(kind).tobytes(), np.concatenate([[0], np.cumsum(count)]) * np.dtype(kind).itemsize
             rows = [whole[a:b] + end for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
@@ -186,8 +217,15 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, block_tokens:
 
     Null and empty texts are the end id alone. Rows that share a doc_id follow each other, by their ids. An empty
     table writes no block. Texts go through the tokenizer once; the ids are kept in the shared folder, counted
-    for their ranks, and dealt by range of doc_id into the shards.
+    for their ranks, and dealt by range of doc_id into the shards. Other columns are not read. A text of any length is
+    one row of ids. Where the tokenizer's file allows it (may_be_cut), each distinct part of the texts is encoded
+    once by a worker; any other file encodes each text whole.
     """
+    with scratch(docs.sparkSession):
+        return _write_tokens(docs, tokenizer, end_id, block_tokens)
+
+
+def _write_tokens(docs: DataFrame, tokenizer: str, end_id: int, block_tokens: int) -> TokenFiles:
     from tokenizers import Tokenizer
 
     most = max(Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True), end_id + 1)
@@ -201,7 +239,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, block_tokens:
     rank[ids] = np.arange(len(ids), dtype=np.uint32)
     ranked = docs.sparkSession.createDataFrame([(n, int(i)) for n, i in enumerate(ids)], "rank int, id int")
     ordered = encoded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-    return TokenFiles(stored(ordered.mapInArrow(_write(kind, rank, block_tokens), _FILE), "token-files"), stored(ranked, "token-vocabulary"))
+    return TokenFiles(stored(ordered.mapInArrow(_write(kind, rank, block_tokens), _FILE), "token-files", keep=True), stored(ranked, "token-vocabulary", keep=True))
 
 
 def read_tokens(files: TokenFiles) -> DataFrame:
