@@ -10,16 +10,19 @@ OP3 = rf"""WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '
  g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)"""
 
-OP1 = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '[0-9]+', '<*>', 'g'), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), chr(10)) AS a FROM documents),
- l AS (SELECT doc_id, i, line, len(line) - len(replace(line, ' ', '')) + 1 AS n, array_to_string(string_split(line, ' ')[1:3], ' ') AS lead FROM (SELECT doc_id, unnest(range(len(a)))::INT AS i, trim(unnest(a)) AS line FROM d) WHERE line <> ''),
- k AS (SELECT * FROM l WHERE n >= 4), g AS (SELECT line, n, lead, count(DISTINCT doc_id) AS docs, min((doc_id, i)) AS first FROM k GROUP BY 1, 2, 3),
- crowded AS (SELECT n, lead FROM g WHERE docs < 3 GROUP BY 1, 2 HAVING sum(docs) >= 3),
- o AS (SELECT k.* FROM k JOIN g USING (line) JOIN crowded c ON k.n = c.n AND k.lead = c.lead WHERE g.docs < 3),
- w AS (SELECT doc_id, i, n, lead, unnest(range(n)) AS pos, unnest(string_split(line, ' ')) AS word FROM o),
- c AS (SELECT n, lead, pos, word FROM w GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT doc_id) >= 3),
- s AS (SELECT doc_id, i, n, lead, list((pos, word) ORDER BY pos) AS shape FROM w JOIN c USING (n, lead, pos, word) GROUP BY 1, 2, 3, 4 HAVING count(*) >= ceil(n * 0.7)),
- t AS (SELECT n, lead, shape, min((doc_id, i)) AS first FROM s GROUP BY 1, 2, 3 HAVING count(DISTINCT doc_id) >= 3),
- x AS (SELECT doc_id, i FROM k JOIN g USING (line) WHERE docs >= 3 AND (doc_id, i) <> first UNION ALL SELECT doc_id, i FROM s JOIN t USING (n, lead, shape) WHERE (doc_id, i) <> first),
+OP1 = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(regexp_replace(coalesce(text, ''), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), chr(10)) AS a FROM documents),
+ p AS (SELECT doc_id, i, line, string_split(line, ' ') AS t FROM (SELECT doc_id, unnest(range(len(a)))::INT AS i, trim(unnest(a)) AS line FROM d) WHERE line <> ''),
+ k AS (SELECT doc_id, i, len(t) AS n, CASE WHEN len(t) >= 4 THEN regexp_replace(line, '[0-9]+', '<*>', 'g') ELSE line END AS line FROM p),
+ g AS (SELECT line, n, CASE WHEN n >= 4 THEN array_to_string(string_split(line, ' ')[1:3], ' ') END AS lead, count(DISTINCT doc_id) AS docs, min((doc_id, i)) AS first FROM k GROUP BY 1, 2),
+ crowded AS (SELECT n, lead FROM g WHERE lead IS NOT NULL GROUP BY 1, 2 HAVING sum(docs) >= 3 AND count(*) > 1),
+ w AS (SELECT line, n, lead, unnest(range(4, n + 1)) AS pos, unnest(string_split(line, ' ')[4:]) AS word FROM g JOIN crowded USING (n, lead)),
+ h AS (SELECT *, count(*) OVER (PARTITION BY n, lead, pos, word) AS held FROM w),
+ b AS (SELECT line, greatest(ceil(any_value(n)::DOUBLE * 0.7::DOUBLE)::INT - 3, 0) AS need, list_reverse_sort(list(held)) AS counts FROM h GROUP BY 1),
+ s AS (SELECT h.line, any_value(n) AS n, any_value(lead) AS lead, list((pos, word) ORDER BY pos) FILTER (need > 0 AND held >= counts[need]) AS shape FROM h JOIN b USING (line) GROUP BY 1),
+ m AS (SELECT doc_id, i, s.n, lead, shape FROM k JOIN s USING (line)),
+ t AS (SELECT n, lead, shape, min((doc_id, i)) AS first FROM m GROUP BY 1, 2, 3 HAVING count(DISTINCT doc_id) >= 3),
+ x AS (SELECT doc_id, i FROM k JOIN g USING (line) WHERE docs >= CASE WHEN k.n > 50 THEN 2 ELSE 3 END AND (doc_id, i) <> first
+  UNION SELECT doc_id, i FROM m JOIN t ON m.n = t.n AND m.lead = t.lead AND m.shape IS NOT DISTINCT FROM t.shape WHERE (doc_id, i) <> first),
  y AS (SELECT doc_id, list(i) AS gone FROM x GROUP BY 1)
 SELECT d.doc_id, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda v, p: NOT list_contains(gone, (p - 1)::INT)), chr(10)) END AS text, len(a)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_dropped FROM d LEFT JOIN y ON d.doc_id = y.doc_id"""
 
@@ -35,7 +38,7 @@ SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE (floor(
 def _op8() -> str:
     text = "'" + "'), ('".join("', '".join(r) for r in HOST_RULES) + "'"
     rules = f"(VALUES ({text})) AS r(name, verdict)"
-    other = " ".join(f"WHEN regexp_matches(key, '{p}') THEN ('{n}', '{v}')" for n, p, v, _ in sorted(PATTERN_RULES, key=lambda r: (-len(r[1]), r[0])))
+    other = " ".join(f"WHEN regexp_matches(lower(key), '{p}') THEN ('{n}', '{v}')" for n, p, v, _ in sorted(PATTERN_RULES, key=lambda r: (-len(r[1]), r[0])))
     return rf"""WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, lower(regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*[^?#]*(.*)$', 1)) AS rest FROM pages),
  h AS (SELECT page_id, arg_max((name, verdict), (length(name), name)) AS best FROM u, {rules} WHERE (host = split_part(name, '/', 1) OR ends_with(host, '.' || split_part(name, '/', 1))) AND starts_with(path, substr(name, strpos(name, '/'))) GROUP BY 1),
