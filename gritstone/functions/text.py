@@ -7,13 +7,27 @@ from pyspark.sql import functions as F
 
 # The lexical token, and the patterns that queries, validators and redaction use.
 TOKEN = r"([a-z0-9]+(?:[/-][a-z0-9]+)*)"
-DANGEROUS = (r"<script", r"javascript:", r"onerror\s*=", r"onload\s*=", r"eval\s*\(", r"exec\s*\(")
+DANGEROUS = (r"<script", r"javascript:", r"onerror=", r"onload=", r"eval\(", r"exec\(")
+DANGEROUS_QUERY = (*DANGEROUS, r"import\s+os", r"__import__", r"subprocess", r"shell\s*=")
+DANGEROUS_NAME = (r"<script", r"javascript:", r"\.\./", r"\.\.\\")
 REDACTIONS = (
-    (r"[A-Za-z]:\\[^\s]+", "[PATH]"),
-    (r"sk-[A-Za-z0-9]{16,}", "[API_KEY]"),
-    (r"(?i)(api_key|password|secret|token)\s*[:=]\s*[^\s]+", "[SECRET]"),
-    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]"),
+    (r"[A-Z]:\\[^\s]+", "[FILE_PATH]"),
+    (r"/[^\s]+", "[FILE_PATH]"),
+    (r"\.\./[^\s]+", "[FILE_PATH]"),
+    (r"\.\\[^\s]+", "[FILE_PATH]"),
+    (r"sk-[a-zA-Z0-9]{10,}", "[API_KEY]"),
+    (r"(?i)api[_-]?key\s*[:=]\s*[^\s]+", "api_key=[REDACTED]"),
+    (r"(?i)password\s*[:=]\s*[^\s]+", "password=[REDACTED]"),
+    (r"(?i)secret\s*[:=]\s*[^\s]+", "secret=[REDACTED]"),
+    (r"(?i)token\s*[:=]\s*[^\s]+", "token=[REDACTED]"),
+    (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", "[EMAIL]"),
+    (r"(?s)Traceback \(most recent call last\):.*", "[STACK_TRACE]"),
+    (r'File "[^"]+", line \d+.*', "[STACK_TRACE]"),
+    (r"C:\\Users\\[^\\]+", "[USER_HOME]"),
+    (r"/home/[^/]+", "[USER_HOME]"),
 )
+UNFINISHED_VERBS = ("was", "is", "has", "did", "will", "were", "are", "have", "had", "would", "could", "should")
+UNFINISHED_WORDS = ("and", "or", "but")
 CONTROL = r"[\x00-\x08\x0b-\x0c\x0e-\x1f]"
 
 
@@ -98,13 +112,38 @@ def without_control(text: Column) -> Column:
     return F.regexp_replace(text, CONTROL, "")
 
 
-def is_dangerous(text: Column) -> Column:
-    return F.regexp_like(F.lower(text), F.lit("|".join(DANGEROUS)))
+def is_dangerous(text: Column, patterns: tuple[str, ...] = DANGEROUS) -> Column:
+    return F.regexp_like(F.lower(text), F.lit("|".join(patterns)))
+
+
+def query_error(text: Column, longest: int = 2000) -> Column:
+    """Why a question is refused: empty, too_long or dangerous; null for a good one."""
+    return F.when(F.coalesce(F.length(F.trim(text)), F.lit(0)) == 0, "empty").when(F.length(text) > longest, "too_long").when(is_dangerous(without_control(text), DANGEROUS_QUERY), "dangerous")
+
+
+def name_error(text: Column, longest: int = 50, digit: bool = True) -> Column:
+    """Why a name is refused: a well has up to 50 signs and a digit, a formation up to 100."""
+    bare = F.regexp_replace(text, r"[\x00-\x1f]", "")
+    out = F.when(F.coalesce(F.length(F.trim(text)), F.lit(0)) == 0, "empty").when(F.length(text) > longest, "too_long")
+    out = out.when(~bare.rlike("[0-9]"), "no_digit") if digit else out
+    return out.when(is_dangerous(bare, DANGEROUS_NAME), "dangerous")
 
 
 def is_unfinished(query: Column) -> Column:
-    """Ends with dots, a dangling verb or a dangling conjunction."""
-    return F.regexp_like(F.lower(F.rtrim(query)), F.lit(r"(\.\.\.$|\b(is|are|was|were|has|have)$|\b(and|or|but|with|of|the)$)"))
+    """Ends with dots, a dangling verb or conjunction (a full stop may follow), or says of a well that it `was`."""
+    q = F.regexp_replace(query, r"^\s+|\s+$", "")
+    ends = "|".join((*UNFINISHED_VERBS, *UNFINISHED_WORDS))
+    return F.endswith(q, F.lit("...")) | F.regexp_like(F.lower(q), F.lit(rf" (?:{ends})\.?$")) | F.regexp_like(q, F.lit(r"(?i)(?:Wellbore|Well)\s+[A-Z0-9/_-]+\s+was\s*\.\.?\.?$"))
+
+
+def is_toc_line(line: Column) -> Column:
+    """A dotted leader to a number, or a short line that spaces part from a number at its end."""
+    return line.rlike(r"\.{4,}\s*\d+\s*$") | (line.rlike(r"\s{2,}\d+\s*$") & (F.length(F.regexp_replace(line, r"^\s+|\s+$", "")) < 80))
+
+
+def wants_toc(query: Column) -> Column:
+    low = F.lower(query)
+    return F.contains(low, F.lit("table of contents")) | F.contains(low, F.lit("toc")) | F.contains(low, F.lit("page"))
 
 
 def is_toc(text: Column) -> Column:
@@ -130,9 +169,10 @@ def pdf_confidence(chars: Column, pages: Column, words: Column) -> Column:
     return F.when(chars == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)))
 
 
-def chunk_confidence(token_count: Column, terminal: Column, technical: Column, sentence_count: Column) -> Column:
-    per = token_count / F.greatest(sentence_count, F.lit(1))
-    score = F.lit(1.0) - F.when(token_count < 50, 0.2).otherwise(0.0) - F.when(~terminal, 0.1).otherwise(0.0)
+def chunk_confidence(words: Column, terminal: Column, technical: Column, sentence_count: Column, token_count: Column | None = None) -> Column:
+    """1, less 0.2 under 50 tokens, less 0.1 without an end, 0.1 more for technical words and for 10 to 30 words a sentence; 0.1 to 1."""
+    per = words / F.greatest(sentence_count, F.lit(1))
+    score = F.lit(1.0) - F.when((token_count if token_count is not None else words) < 50, 0.2).otherwise(0.0) - F.when(~terminal, 0.1).otherwise(0.0)
     score = score + F.when(technical, 0.1).otherwise(0.0) + F.when(per.between(10, 30), 0.1).otherwise(0.0)
     return F.least(F.lit(1.0), F.greatest(F.lit(0.1), score))
 

@@ -1,28 +1,81 @@
-"""Fuzzy scorers on the longest common subsequence, as vectorised UDFs, and candidate ranking."""
+"""Fuzzy scorers on the longest common subsequence, blocked candidate search, and the cascades that accept or ask back."""
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gritstone.functions import text as T
+from gritstone.functions import wells
+
+
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a bit for each sign of a."""
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for c in b:
+        hit = row & where.get(c, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
+
 
 def indel_ratio(a: str, b: str) -> float:
     """100 * 2 * (longest common subsequence) / (length of both); 100 for two empty texts."""
     if not a or not b:
         return 100.0 if a == b else 0.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
-    return 200.0 * row[-1] / (len(a) + len(b))
+    return 200.0 * common_length(a, b) / (len(a) + len(b))
 
 
 def partial_indel_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter text with a stretch of the longer one as long."""
+    """The best ratio of the shorter text with a stretch of the longer one, as long or, at its ends, shorter."""
     a, b = sorted((a, b), key=len)
-    return max(indel_ratio(a, b[i : i + len(a)]) for i in range(len(b) - len(a) + 1)) if a else (100.0 if not b else 0.0)
+    if not a:
+        return 100.0 if not b else 0.0
+    n = len(a)
+    if a in b:
+        return 100.0
+    whole = max(indel_ratio(a, b[i : i + n]) for i in range(len(b) - n + 1))
+    return max([whole, *(indel_ratio(a, x) for i in range(1, n) for x in (b[:i], b[-i:]))])
+
+
+def _sorted_words(text: str) -> str:
+    return " ".join(sorted(text.split()))
+
+
+def token_ratio(a: str, b: str, score: Callable[[str, str], float] = indel_ratio) -> float:
+    """The better of the ratio of the sorted words and of the words in common with those in common and the rest."""
+    x, y = set(a.split()), set(b.split())
+    both, left, right = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
+    if both and (not left or not right):
+        return 100.0
+    one, two = (f"{both} {rest}".strip() for rest in (left, right))
+    parts = [score(_sorted_words(a), _sorted_words(b)), score(one, two)]
+    return max([*parts, *((score(both, one), score(both, two)) if both else ())])
+
+
+def weighted_ratio(a: str, b: str) -> float:
+    """The best of the plain, the word-wise (0.95) and, where one text is half as long again, the partial ratios (0.9, or 0.6 from 8 times on)."""
+    if not a or not b:
+        return 0.0
+    apart = max(len(a), len(b)) / min(len(a), len(b))
+    if apart < 1.5:
+        return max(indel_ratio(a, b), 0.95 * token_ratio(a, b))
+    scale = 0.9 if apart < 8 else 0.6
+    words = 100.0 if set(a.split()) & set(b.split()) else partial_indel_ratio(_sorted_words(a), _sorted_words(b))
+    return max(indel_ratio(a, b), scale * partial_indel_ratio(a, b), 0.95 * scale * words)
+
+
+def key_ratio(a: str, b: str) -> float:
+    return max(indel_ratio(a, b), partial_indel_ratio(a, b))
 
 
 def _scored(score, a, b):
@@ -45,7 +98,242 @@ def partial_ratio(a: Column, b: Column) -> Column:
     return _scored(partial_indel_ratio, a, b)
 
 
-def candidates(asked: DataFrame, terms: DataFrame, query: str, term: str, scorer=ratio) -> DataFrame:
-    """Scores of each asked text with each term of a small vocabulary; distinct pairs are scored once."""
-    pairs = asked.select(query).distinct().join(terms.select(term).distinct(), F.lit(True))
-    return asked.join(pairs.withColumn("score", scorer(F.lower(query), F.lower(term))), query)
+def wratio(a: Column, b: Column) -> Column:
+    return _scored(weighted_ratio, a, b)
+
+
+def _bounds(a: list[str], b: list[str], score) -> np.ndarray:
+    """No pair scores more: counts of signs in common bound the subsequence (no bound for scores by words)."""
+    if score not in (indel_ratio, partial_indel_ratio, key_ratio):
+        return np.full((len(a), len(b)), 100.0)
+    signs = {c: i for i, c in enumerate(sorted(set("".join(a)) & set("".join(b))))}
+
+    def counts(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), max(1, len(signs))), np.int16)
+        for row, text in zip(out, texts, strict=True):
+            for c, n in Counter(text).items():
+                if c in signs:
+                    row[signs[c]] = n
+        return out
+
+    x, y = counts(a), counts(b)
+    both = np.stack([np.minimum(row, y).sum(1) for row in x]).astype(float)
+    n, m = np.array([len(t) for t in a], float)[:, None], np.array([len(t) for t in b], float)[None, :]
+    least = np.minimum(n, m)
+    bound = 200 * both / np.maximum(n + m, 1) if score is indel_ratio else 200 * both / np.maximum(least + both, 1)
+    return np.where(least == 0, 100.0, bound)
+
+
+def best_terms(asked: DataFrame, terms: DataFrame, query: str, term: str, score: Callable[[str, str], float] = indel_ratio, k: int = 5, floor: float = 0.0, block: int = 512) -> DataFrame:
+    """The k best terms of each distinct asked text with a score of floor or more: query, term, score; ties to the smaller term.
+
+    Texts and terms are dealt into blocks of bounded size by hash; a pair of blocks is a task's work and gives k rows a text. Pairs
+    whose signs in common bound them below floor, or below the k-th best, are never scored. Case does not count.
+    """
+    left, right = asked.select(query).where(F.col(query).isNotNull()).distinct(), terms.select(term).where(F.col(term).isNotNull()).distinct()
+    down, across = (max(1, -(-t.count() // block)) for t in (left, right))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = left.select(F.col(query).alias("q_"), F.pmod(F.xxhash64(query), F.lit(down)).cast("int").alias("x"), upto(across).alias("y"))
+    b = right.select(F.col(term).alias("t_"), F.pmod(F.xxhash64(term), F.lit(across)).cast("int").alias("y"), upto(down).alias("x"))
+
+    def tile(texts: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
+        qs, ts = texts["q_"].tolist(), sorted(names["t_"].tolist())
+        rows = []
+        if qs and ts:
+            low = [t.lower() for t in ts]
+            bound = _bounds([q.lower() for q in qs], low, score)
+            for q, most in zip(qs, bound, strict=True):
+                found: list[tuple[float, str]] = []
+                for j in np.argsort(-most, kind="stable").tolist():
+                    if most[j] < floor or (len(found) >= k and most[j] < -found[k - 1][0]):
+                        break
+                    s = score(q.lower(), low[j])
+                    if s >= floor:
+                        found = sorted([*found, (-s, ts[j])])[:k]
+                rows += [(q, t, -s) for s, t in found]
+        return pd.DataFrame(rows, columns=["q_", "t_", "score"])
+
+    tiles = a.groupBy("x", "y").cogroup(b.groupBy("x", "y")).applyInPandas(tile, "q_ string, t_ string, score double")
+    w = W.partitionBy("q_").orderBy(F.desc("score"), "t_")
+    return tiles.withColumn("n_", F.row_number().over(w)).where(F.col("n_") <= k).select(F.col("q_").alias(query), F.col("t_").alias(term), "score")
+
+
+def candidates(asked: DataFrame, terms: DataFrame, query: str, term: str, score: Callable[[str, str], float] = indel_ratio, k: int = 8, floor: float = 0.0) -> DataFrame:
+    """The k best terms for each row of asked: its columns, term, score."""
+    return asked.join(best_terms(asked, terms, query, term, score, k, floor), query)
+
+
+def accept_or_ask(scored: DataFrame, group: str, term: str, least: float, margin: float, shown: int = 5) -> DataFrame:
+    """group, accepted, choices: the best term where it scores `least` and beats the next by `margin`; else null, and the first `shown` to choose from."""
+    w = W.partitionBy(group).orderBy(F.desc("score"), term)
+    ranked = scored.withColumns({"n_": F.row_number().over(w), "next_": F.lead("score").over(w)}).where(F.col("n_") <= shown)
+    sure = (F.col("n_") == 1) & (F.col("score") >= least) & (F.col("score") - F.coalesce("next_", F.lit(0.0)) >= margin)
+    every = F.transform(F.array_sort(F.collect_list(F.struct("n_", term))), lambda x: x[term])
+    out = ranked.groupBy(group).agg(F.max(F.when(sure, F.col(term))).alias("accepted"), every.alias("choices"))
+    return out.withColumn("choices", F.when(F.col("accepted").isNull(), F.col("choices")).otherwise(F.array().cast("array<string>")))
+
+
+def formation_text(text: Column) -> Column:
+    """A question without the word formation, its short forms and stop words, in lower case."""
+    low = F.regexp_replace(F.lower(text), r"formation|fm\.|fm", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(low, r"\b(the|a|an|of|for|in|at|on|by|with)\b", " "), r"\s+", " "))
+
+
+def resolve_formation(asked: DataFrame, vocabulary: DataFrame, question: str, term: str, key: str) -> DataFrame:
+    """key, formation: the longest name that stands in the question (or holds all of it), else the partial ratio from 80 with a margin
+    of 8, else the ratio from 85 with a margin of 10. Names have three signs or more. An empty question gives none."""
+    names = vocabulary.select(term).where(F.length(term) >= 3).distinct()
+    own = asked.select(key, formation_text(F.col(question)).alias("q_")).where("q_ <> ''")
+    # a name that holds the whole question begins a stretch of itself with it, so names are met by their tails' beginnings
+    inside = own.join(_by_grams(own, names, "q_", term, key), key)
+    exact = inside.groupBy(key).agg(F.max_by(term, F.struct(F.length(term), term)).alias("formation"))
+    rest = own.join(exact, key, "left_anti")
+    part = accept_or_ask(candidates(rest, names, "q_", term, partial_indel_ratio, 5), key, term, 80, 8).where("accepted is not null").select(key, F.col("accepted").alias("formation"))
+    rest = rest.join(part, key, "left_anti")
+    full = accept_or_ask(candidates(rest, names, "q_", term, indel_ratio, 3), key, term, 85, 10).where("accepted is not null").select(key, F.col("accepted").alias("formation"))
+    return exact.unionByName(part).unionByName(full)
+
+
+def _by_grams(texts: DataFrame, names: DataFrame, text: str, term: str, key: str, gram: int = 3) -> DataFrame:
+    """key, term: the names that a text holds, or that hold the text: joined by their first signs, and by those of the text in the name."""
+    cut = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (gram - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(gram))))
+    low = names.select(term, F.lower(term).alias("l_"))
+    holds = texts.select(key, text, F.explode(cut(F.col(text))).alias("g_")).join(low.withColumn("g_", F.substring("l_", 1, gram)), "g_").where(F.contains(text, F.col("l_")))
+    held = texts.select(key, text, F.substring(text, 1, gram).alias("g_")).join(low.withColumn("g_", F.explode(cut(F.col("l_")))), "g_").where(F.contains("l_", F.col(text)))
+    return holds.select(key, term).unionByName(held.select(key, term)).distinct()
+
+
+def match_formation(asked: DataFrame, vocabulary: DataFrame, formation: str, term: str, key: str, least: float = 85, margin: float = 10) -> DataFrame:
+    """key, matched: the name that is the same but for case, else the partial ratio from `least` with `margin`."""
+    names = vocabulary.select(term).distinct()
+    same = asked.join(names, F.lower(formation) == F.lower(term)).groupBy(key).agg(F.min(term).alias("matched"))
+    rest = asked.join(same, key, "left_anti")
+    near = accept_or_ask(candidates(rest, names, formation, term, partial_indel_ratio, 3), key, term, least, margin).where("accepted is not null")
+    return same.unionByName(near.select(key, F.col("accepted").alias("matched")))
+
+
+def answer_formation(asked: DataFrame, tables: DataFrame, question: str, term: str, key: str, well: str) -> DataFrame:
+    """key, formation: of the formations in the well's table (well, term), one that the question names, with or without fm; else one that
+    a word of four letters or more is near to, by the partial ratio from 80 with a margin of 10."""
+    low = F.lower(question)
+    bare = F.regexp_replace(low, r"formations?|fm\.?", "")
+    base = F.trim(F.regexp_replace(F.lower(term), r"formation|fm\.?", ""))
+    rows = asked.join(tables.select(well, term).distinct(), well)
+    named = rows.where(F.contains(low, F.lower(term)) | ((base != "") & F.contains(bare, base))).groupBy(key).agg(F.min(term).alias("formation"))
+    rest = rows.join(named, key, "left_anti").select(key, term, F.explode(F.array_distinct(F.filter(F.split(bare, r"\s+"), lambda x: x.rlike(r"^\p{L}{4,}$")))).alias("word"))
+    rest = rest.withColumn("score", partial_ratio(F.col("word"), F.lower(term)))
+    w = W.partitionBy(key, "word").orderBy(F.desc("score"), term)
+    ranked = rest.withColumns({"n_": F.row_number().over(w), "next_": F.lead("score").over(w)}).where("n_ = 1")
+    near = ranked.where((F.col("score") >= 80) & (F.col("score") - F.coalesce("next_", F.lit(0.0)) >= 10))
+    return named.unionByName(near.groupBy(key).agg(F.max_by(term, F.struct("score", term)).alias("formation")))
+
+
+def match_label(asked: DataFrame, labels: DataFrame, well: str, label: str, key: str) -> DataFrame:
+    """key, label, score: of the five best labels by the weighted ratio from 65 the best; a longer one takes its place if it comes within 5 points."""
+    five = candidates(asked, labels, well, label, weighted_ratio, 5, 65)
+    ordered = five.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col(label).alias("l")))).alias("all"))
+
+    def step(best: Column, x: Column) -> Column:
+        better = best["l"].isNull() | (-x["s"] > best["s"] + 5) | ((-x["s"] >= best["s"] - 5) & (F.length(x["l"]) > F.length(best["l"])))
+        return F.when(better, F.struct((-x["s"]).alias("s"), x["l"].alias("l"))).otherwise(best)
+
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(None).cast("string").alias("l"))
+    return ordered.select(key, F.aggregate("all", start, step).alias("b")).select(key, F.col("b.l").alias(label), F.col("b.s").alias("score"))
+
+
+def match_well(asked: DataFrame, names: DataFrame, well: str, name: str, key: str, least: float = 85) -> DataFrame:
+    """key, matched: the stored name whose key is nearest to the asked one's by the weighted ratio, from `least` on."""
+    keyed = asked.select(key, T.well_key(F.col(well)).alias("q_"))
+    stored = names.select(T.well_key(F.col(name)).alias("t_"), name).groupBy("t_").agg(F.min(name).alias("matched"))
+    return candidates(keyed, stored, "q_", "t_", weighted_ratio, 1, least).join(stored, "t_").select(key, "matched")
+
+
+def well_candidates(asked: DataFrame, names: DataFrame, question: str, name: str, k: int = 8) -> DataFrame:
+    """The k stored wells nearest to a question, by the better of ratio and partial ratio of their keys: the columns of asked, name, score."""
+    keyed = asked.withColumn("q_", T.well_key(F.col(question)))
+    stored = names.select(T.well_key(F.col(name)).alias("t_"), name).where("t_ <> ''").groupBy("t_").agg(F.min(name).alias(name))
+    return candidates(keyed, stored, "q_", "t_", key_ratio, k).join(stored, "t_").drop("q_", "t_")
+
+
+#: Words that a property is called by, besides its own names.
+SURFACE = (
+    ("matrix_density", "matrix density"), ("matrix_density", "rho ma"), ("matrix_density", "ρma"), ("matrix_density", "pma"), ("matrix_density", "Matrix density (ρma / Rhoma)"),
+    ("fluid_density", "fluid density"), ("fluid_density", "rho fl"), ("fluid_density", "ρfl"), ("fluid_density", "pfl"), ("fluid_density", "Fluid density (ρfl / Rhofl)"),
+    ("netgros", "net to gross"), ("netgros", "Net/Gross (NetGros)"), ("temperature_gradient", "temperature gradient"), ("klogh", "perm"), ("klogh", "permeability"), ("klogh", "k"), ("klogh", "KLOGH (permeability)"),
+    ("phif", "poro"), ("phif", "phi"), ("phif", "porosity"), ("phif", "PHIF (porosity)"), ("sw", "SW (water saturation)"), ("archie_a", "Archie a (tortuosity)"), ("archie_m", "Archie m (cementation exponent)"),
+    ("archie_n", "Archie n (saturation exponent)"),
+)
+
+
+def resolve_property(asked: DataFrame, question: str, key: str) -> DataFrame:
+    """key, property, choices: the rules of resolved_property first; then words near `density` (70) with words near `matrix` or `fluid` (75);
+    then the best name of each property by the weighted and, for long questions, the partial ratio: accepted from 86 with a margin
+    of 6 or from 74 with 18; else the properties from 70 on are choices."""
+    ruled = asked.select(key, question, wells.resolved_property(F.col(question)).alias("property"))
+    surface = [(n, s) for n, s in SURFACE] + [(n, s) for n, _, k in wells.REGISTRY for s in (n.replace("_", " "), n, *([k] if k else []))]
+
+    @F.pandas_udf("struct<property string, choices array<string>>")
+    def guessed(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts.fillna(""):
+            words = ["".join(c for c in w if "a" <= c <= "z") for w in text.lower().split()]
+            near = lambda target, words=words: max((indel_ratio(w, target) for w in words if w), default=0.0)
+            if near("density") >= 70 and (near("matrix") >= 75 or near("fluid") >= 75):
+                rows.append(("matrix_density" if near("matrix") >= 75 else "fluid_density", []))
+                continue
+            scorers = [weighted_ratio] + ([partial_indel_ratio] if len(text.strip()) >= 20 else [])
+            best: dict[str, float] = {}
+            for scorer in scorers:
+                for s, name in sorted(((scorer(text.strip(), x), n) for n, x in surface), reverse=True)[:10]:
+                    best[name] = max(best.get(name, 0.0), s)
+            ranked = sorted(best.items(), key=lambda x: (-x[1], x[0]))
+            top, second = ranked[0][1], ranked[1][1] if len(ranked) > 1 else 0.0
+            sure = (top >= 86 and top - second >= 6) or (top >= 74 and top - second >= 18)
+            rows.append((ranked[0][0] if sure else None, [] if sure else [n for n, s in ranked if s >= 70]))
+        return pd.DataFrame(rows, columns=["property", "choices"])
+
+    none = F.array().cast("array<string>")
+    open_ = ruled.where("property is null").withColumn("g", guessed(F.col(question))).select(key, "g.property", "g.choices")
+    return ruled.where("property is not null").select(key, "property", none.alias("choices")).unionByName(open_)
+
+
+def registry_of(tables: DataFrame) -> DataFrame:
+    """The properties that the stored tables (tool, key: null for facts) hold: canonical, tool, key."""
+    rows = ", ".join(f"('{n}', '{t}', {repr(k) if k else 'cast(null as string)'})" for n, t, k in wells.REGISTRY)
+    known = tables.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS r(canonical, tool, key)")
+    have = tables.select(F.col("tool").alias("t_"), F.col("key").alias("k_")).distinct()
+    whole = F.col("tool") != "lookup_evaluation_parameters"  # one key of such a table is enough for all of its properties
+    return known.join(have, (F.col("tool") == F.col("t_")) & (whole | (F.col("key") == F.col("k_"))), "left_semi")
+
+
+def entities(picks: DataFrame, petro: DataFrame, params: DataFrame) -> DataFrame:
+    """well, formations: the distinct wells of three stores with their distinct formations, sorted; params has an array of them."""
+    every = picks.select("well", "formation").unionByName(petro.select("well", "formation")).unionByName(params.select("well", F.explode("formations").alias("formation")))
+    return every.where("well is not null").groupBy("well").agg(F.array_sort(F.collect_set("formation")).alias("formations"))
+
+
+def resolve_entities(asked: DataFrame, known: DataFrame, question: str, key: str, chosen: DataFrame | None = None) -> DataFrame:
+    """key, well, formation, property, tool, question_back: what a question is about.
+
+    The well by its form, else the nearest stored one (90, margin 8); the formation by name, else the nearest (84, margin 8) among
+    those of the well if it is known; the property by resolve_property. Where well or property stay open, question_back asks, with the
+    candidates. A model's choice (key, well, formation, property) counts only where it is among the candidates.
+    """
+    own = asked.select(key, question, T.extract_well(F.col(question)).alias("well"))
+    names = known.select(F.col("well").alias("stored"))
+    near = accept_or_ask(well_candidates(own.where("well is null").drop("well"), names, question, "stored"), key, "stored", 90, 8)
+    own = own.join(near.select(key, F.col("accepted").alias("near"), F.col("choices").alias("wells")), key, "left").withColumn("well", F.coalesce("well", "near")).drop("near")
+    forms = known.select(F.explode("formations").alias("formation")).distinct()
+    named = resolve_formation(own.select(key, question), forms, question, "formation", key)
+    prop = resolve_property(own, question, key)
+    out = own.join(named, key, "left").join(prop, key, "left")
+    if chosen is not None:
+        model = chosen.select(key, F.col("well").alias("w_"), F.col("property").alias("p_"))
+        out = out.join(model, key, "left")
+        out = out.withColumn("well", F.coalesce("well", F.when(F.array_contains(F.coalesce("wells", F.array().cast("array<string>")), F.col("w_")), F.col("w_"))))
+        out = out.withColumn("property", F.coalesce("property", F.when(F.array_contains(F.coalesce("choices", F.array().cast("array<string>")), F.col("p_")), F.col("p_"))))
+    back = (
+        F.when(F.col("well").isNull() & (F.size(F.coalesce("wells", F.array())) > 0) & F.col("property").isNotNull(), F.concat(F.lit("Did you mean: "), F.array_join("wells", ", "), F.lit("?")))
+        .when(F.col("well").isNull(), "Which well did you mean (e.g., 15/9-F-4)?").when(F.col("property").isNull(), "Which parameter/property do you mean (e.g., matrix density or fluid density)?")
+    )
+    return out.select(key, "well", "formation", "property", wells.tool_of_property(F.col("property")).alias("tool"), back.alias("question_back"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gritstone.functions import text as T
+from gritstone.functions import wells
+from gritstone.functions.wells import any_in
+from gritstone.operators import relational
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -22,19 +26,33 @@ def bm25(docs: DataFrame, questions: DataFrame, doc_id: str = "doc_id", text: st
     term. Terms in over half of the documents, whose idf is negative, get EPSILON times the mean idf. A question's terms
     count as often as it has them.
     """
-    tf = docs.select(F.col(doc_id).alias("doc_id"), F.explode(T.tokens(F.col(text))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    length = docs.select(F.col(doc_id).alias("doc_id"), F.size(T.tokens(F.col(text))).alias("dl"))
-    whole = length.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(whole)  # whole: one row
+    rows = docs.select(F.col(doc_id).alias("doc_id"), T.tokens(F.col(text)).alias("toks"))
+    tf = rows.select("doc_id", F.explode("toks").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    # lengths and document frequencies read the counts, not the texts: one exchange serves all three
+    length = tf.groupBy("doc_id").agg(F.sum("tf").alias("dl"), F.count("term").alias("terms")).drop("terms")
+    whole = docs.agg(F.count("*").alias("n")).crossJoin(tf.agg(F.sum("tf").alias("all"), F.count("term").alias("x"), F.count("doc_id").alias("y"))).select("n", (F.col("all") / F.col("n")).alias("avgdl"))
+    df = tf.groupBy("term").agg(F.count("tf").alias("df"), F.count("doc_id").alias("y")).drop("y").crossJoin(F.broadcast(whole))  # whole: one row
     idf = df.select("term", "avgdl", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("idf"))
     mean = idf.agg(F.avg("idf").alias("mean"))
     asked = questions.select("query_id", F.explode(T.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    wanted = asked.join(idf, "term").crossJoin(mean).withColumn("idf", F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")))
+    wanted = asked.join(idf, "term").crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf")))
     hits = tf.join(wanted, "term").join(length, "doc_id")
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
+def bm25_top(docs: DataFrame, questions: DataFrame, k: int, digits: int = 6, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """query_id, doc_id, score, rank: the k best of all documents, those without a term of the question (score 0) too, ties to the smaller id.
+
+    A question with fewer than k hits is filled up from the 2k smallest ids, of which k at least are no hits of it.
+    """
+    scored = bm25(docs, questions, doc_id, text).withColumn("score", F.round("score", digits))
+    first = docs.select(F.col(doc_id).alias("doc_id")).distinct().orderBy("doc_id").limit(2 * k)
+    best = top_k(scored, k)
+    rest = questions.select("query_id").crossJoin(F.broadcast(first)).join(best.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    return top_k(best.drop("rank").unionByName(rest.withColumn("score", F.lit(0.0))), k)
+
+
 def top_k(scored: DataFrame, k: int, by: Iterable[str] = ("query_id",), score: str = "score", tie: str = "doc_id", rank: str = "rank") -> DataFrame:
     """The k best of each group, by score and then tie; a window limit, so each task keeps k rows a group before the shuffle."""
     w = W.partitionBy(*by).orderBy(F.desc(score), F.asc(tie))
@@ -113,13 +131,18 @@ def fuse_weighted(dense: DataFrame, lexical: DataFrame) -> DataFrame:
 
 
 def diversify(candidates: DataFrame, k: int, trade: float = 0.7) -> DataFrame:
-    """Maximal marginal relevance over query_id, doc_id, score, embedding: query_id, doc_id, place.
+    """Maximal marginal relevance over query_id, doc_id, score, embedding (and idx, the place they came in): query_id, doc_id, place.
 
     The first is the most relevant; each next one has the largest trade * score - (1 - trade) * its largest similarity to
-    those before, 0 at least. Ties go to the smaller doc_id. Candidates are a top-k list, so a group is small.
+    those before, 0 at least. Ties go to the smaller doc_id. k candidates or fewer stay in the order they came in (by idx, or
+    by score). Candidates are a top-k list, so a group is small.
     """
+    came = ["idx", "doc_id"] if "idx" in candidates.columns else ["score", "doc_id"]
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) <= k:
+            pdf = pdf.sort_values(came, ascending=[came[0] == "idx", True])
+            return pd.DataFrame({"query_id": pdf["query_id"].to_numpy(), "doc_id": pdf["doc_id"].to_numpy(), "place": np.arange(1, len(pdf) + 1)})
         pdf = pdf.sort_values("doc_id").reset_index(drop=True)
         x = np.array([np.asarray(v, float) for v in pdf["embedding"]])
         norm = np.linalg.norm(x, axis=1)
@@ -133,6 +156,117 @@ def diversify(candidates: DataFrame, k: int, trade: float = 0.7) -> DataFrame:
     return candidates.groupBy("query_id").applyInPandas(pick, "query_id long, doc_id long, place long")
 
 
+def merge_diversified(candidates: DataFrame, k_final: int, trade: float = 0.7, least: int = 24) -> DataFrame:
+    """The diversified ten or k_final first, then the rest as they were, max(k_final, least) in all: query_id, doc_id, place."""
+    picked = diversify(candidates, max(k_final, 10), trade).select("query_id", "doc_id", "place")
+    rest = candidates.select("query_id", "doc_id", F.col("idx").cast("long").alias("place"))
+    return relational.ordered_union([picked, rest], ["query_id", "doc_id"], "place").where(F.col("place") <= max(k_final, least))
+
+
+# Acronyms, and words that name kinds of reports and evaluation parameters with what is searched as well.
+ACRONYMS = (
+    ("owc", "oil-water contact"), ("odt", "oil down to"), ("goc", "gas-oil contact"), ("rkb", "rotary kelly bushing"), ("md", "measured depth"), ("tvd", "true vertical depth"), ("tvdss", "true vertical depth sub sea"),
+    ("wlc", "well log correlation wireline logging composite"), ("lfp", "log formation parameters low frequency permeability"), ("dato", "data report"), ("cpi", "composite petrophysical interpretation"),
+)
+REPORTS = (
+    ((("wlc",), ("wireline",), ("composite", "report")), "wlc wireline logging composite composite report well log correlation wlc_petrophysical_composite"),
+    ((("lfp",), ("low frequency", "permeability")), "lfp low frequency permeability log formation parameters lfp report"),
+    ((("dato",),), "dato data report dato report"),
+    ((("cpi",), ("composite", "petrophysical", "interpretation")), "cpi composite petrophysical interpretation"),
+)
+PARAMETERS = (
+    ((("matrix density",), ("matrix dens",)), (), ("rhoma", "ρma", "rho ma", "matrix density", "evaluation parameters", "evaluation parameter table")),
+    ((("fluid density",), ("fluid dens",)), (), ("rhofl", "ρfl", "rho fl", "fluid density", "evaluation parameters", "evaluation parameter table")),
+    ((("density",),), ("matrix", "fluid"), ("rhoma", "rhofl", "ρma", "ρfl", "matrix density", "fluid density", "evaluation parameters")),
+    ((("grmax",), ("gr max",)), (), ("gamma ray max", "gr maximum", "evaluation parameters", "evaluation parameter table")),
+    ((("grmin",), ("gr min",)), (), ("gamma ray min", "gr minimum", "evaluation parameters", "evaluation parameter table")),
+    ((("archie",),), (), ("archie a", "archie m", "archie n", "tortuosity", "cementation exponent", "saturation exponent", "evaluation parameters")),
+)
+
+
+def expanded(question: Column, most: int = 6) -> Column:
+    """Variants of a question, itself first: with acronyms and report names written out, with each of three synonyms of a parameter,
+    with its well spelled in other ways; distinct but for case, `most` in all."""
+    low, none = F.lower(question), F.array().cast("array<string>")
+    holds = lambda ways: reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, (F.contains(low, F.lit(w)) for w in way)) for way in ways))
+    terms = [F.when(low.rlike(rf"\b{a}\b"), full) for a, full in ACRONYMS] + [F.when(holds(ways), words) for ways, words in REPORTS]
+    more = F.array_compact(F.array(*terms))
+    whole = F.when(F.size(more) > 0, F.array(F.concat(question, F.lit(" "), F.array_join(more, " ")))).otherwise(none)
+    synonyms = F.concat(*(F.when(holds(ways) & ~any_in(low, no) if no else holds(ways), F.array(*map(F.lit, words))).otherwise(none) for ways, no, words in PARAMETERS))
+    named = F.transform(F.filter(F.slice(synonyms, 1, 3), lambda s: ~F.contains(low, s)), lambda s: F.concat(question, F.lit(" "), s))
+    raw = wells.found(question, wells.SECTION_WELL)
+    tight = F.regexp_replace(raw, r"\s+", "")
+    split = F.when(tight.rlike(r"(?i)f\d"), F.array(F.regexp_replace(tight, r"(?i)f(\d+)", "f-$1"), F.regexp_replace(tight, r"(?i)f-(\d+)", F.concat(F.lit("f"), F.regexp_extract(tight, r"(?i)f(\d+)", 1))))).otherwise(none)
+    spelled = F.concat(F.array(F.translate(tight, "_-", "//"), F.translate(tight, "/-", "__"), F.translate(tight, "/_", "--"), raw), split)
+    ways = F.slice(F.array_sort(F.array_distinct(F.concat(spelled, F.transform(spelled, lambda v: F.concat(F.lit("Well "), v))))), 1, 6)
+    by_well = F.when(raw.isNotNull(), F.transform(F.filter(ways, lambda v: ~F.contains(question, v)), lambda v: F.replace(question, raw, v))).otherwise(none)
+    every = F.transform(F.concat(F.array(question), whole, named, by_well), lambda x: F.trim(x))
+    return F.slice(T.distinct_ignoring_case(F.filter(every, lambda x: x != "")), 1, most)
+
+
+def hybrid(dense: DataFrame, lexical: DataFrame, chunks: DataFrame, questions: DataFrame, k_final: int = 10, fusion: str = "weighted", scorer: Callable[[DataFrame], DataFrame] | None = None, chosen: DataFrame | None = None) -> DataFrame:
+    """The retrieval from end to end: query_id, doc_id, place, k_final for each question.
+
+    dense and lexical are ranked lists (query_id, variant, doc_id, score, rank from 1) over all variants of the questions. They are
+    fused with weights (places run across the variants) or by reciprocal ranks, tables of contents leave unless the question asks
+    for them, the result is diversified, scored again by `scorer` (overlap by default) over 24, and last put in the order that
+    a model `chosen` (query_id, chosen), where there is one.
+    """
+    across = lambda df: df.withColumn("idx", F.row_number().over(W.partitionBy("query_id").orderBy("variant", "rank")) - 1)
+    if fusion == "weighted":
+        fused = fuse_weighted(across(dense).select("query_id", "doc_id", "score", "idx"), across(lexical).select("query_id", "doc_id", "score", "idx"))
+    else:
+        fused = fuse_reciprocal(dense.select("query_id", "doc_id", "rank").unionByName(lexical.select("query_id", "doc_id", "rank")))
+    top = top_k(fused, max(k_final, 24))
+    own = top.join(chunks.select("doc_id", "text", "embedding"), "doc_id").join(questions.select("query_id", "query"), "query_id")
+    own = own.where(~T.is_toc(F.col("text")) | T.wants_toc(F.col("query"))).withColumn("idx", F.col("rank"))
+    order = merge_diversified(own.select("query_id", "doc_id", "score", "embedding", "idx"), k_final)
+    scored = (scorer or overlap_scores)(order.join(own.select("query_id", "doc_id", "text", "query"), ["query_id", "doc_id"]))
+    placed = scored.withColumn("idx", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "place")) - 1).select("query_id", "doc_id", "idx")
+    if chosen is not None:
+        placed = merge_order(placed.join(chosen, "query_id", "left"), F.coalesce("chosen", F.array().cast("array<int>")))
+    else:
+        placed = placed.withColumn("place", F.col("idx") + 1)
+    return placed.where(F.col("place") <= k_final).select("query_id", "doc_id", "place")
+
+
+def whole_documents(hits: DataFrame, general: DataFrame, chunks: DataFrame, questions: DataFrame) -> DataFrame:
+    """Document-level retrieval: all chunks of the documents that the hits come from, with a citation: query_id, doc_id, text, cite.
+
+    To the hits on picks come general hits of sources not there yet, the first of each, where a question asks for all or found
+    nothing. A question that names one well, and does not list all, keeps the sources and then the chunks of that well.
+    """
+    low = F.lower("query")
+    many = any_in(low, ("all", "every", "each", "list", "summary", "overview"))
+    listed = any_in(low, ("list", "each", "all", "every")) & any_in(low, ("formation", "well picks", "all wells"))
+    asked = questions.select("query_id", "query", wells.retriever_well(F.col("query")).alias("well"), many.alias("many"), listed.alias("listed"))
+    own = hits.select("query_id", "source", "filename").distinct()
+    empty = asked.join(own, "query_id", "left_anti").select("query_id", F.lit(True).alias("empty"))
+    open_ = asked.join(empty, "query_id", "left").where(F.col("many") | F.col("empty")).select("query_id")
+    more = general.select("query_id", "source", "filename").distinct().join(open_, "query_id", "left_semi").join(own.select("query_id", "source"), ["query_id", "source"], "left_anti")
+    sources = own.unionByName(more).join(asked, "query_id")
+    single = F.col("well").isNotNull() & ~F.col("listed")
+    fits = wells.source_of_well(F.col("well"), F.col("source"), F.col("filename"))
+    sources = sources.withColumn("fits", single & F.coalesce(fits, F.lit(False))).withColumn("some", F.max("fits").over(W.partitionBy("query_id"))).where("fits or not some")
+    found = chunks.join(sources.select("query_id", "source", "well", single.alias("single")).distinct(), "source")
+    kept = found.where(~F.col("single") | wells.mentions_well(F.col("well"), F.col("text"), F.col("source"), F.col("filename")))
+    return kept.select("query_id", "doc_id", "text", F.concat(F.lit("["), T.format_cite(F.col("source"), F.col("page"), F.col("page")), F.lit("]")).alias("cite"))
+
+
+def fusion_hits(weighted: DataFrame, reciprocal: DataFrame, expected: DataFrame) -> DataFrame:
+    """query_id, weighted, reciprocal: whether the expected file is among the results of either fusion (query_id, source)."""
+    marked = lambda df, name: df.join(expected.withColumnRenamed("source", "want"), "query_id").where(F.contains("source", F.col("want"))).select("query_id").distinct().withColumn(name, F.lit(True))
+    both = expected.select("query_id").distinct().join(marked(weighted, "weighted"), "query_id", "left").join(marked(reciprocal, "reciprocal"), "query_id", "left")
+    return both.select("query_id", F.coalesce("weighted", F.lit(False)).alias("weighted"), F.coalesce("reciprocal", F.lit(False)).alias("reciprocal"))
+
+
+def by_file(hits: DataFrame) -> DataFrame:
+    """Hits of chunks (query_id, source, rank) as ranked files: each file name once, at its best place, ranked anew."""
+    name = F.element_at(F.split(F.replace("source", F.lit("\\"), F.lit("/")), "/"), -1)
+    best = hits.select("query_id", name.alias("doc_id"), "rank").where("doc_id <> ''").groupBy("query_id", "doc_id").agg(F.min("rank").alias("best"))
+    return best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("best", "doc_id"))).drop("best")
+
+
 def overlap_scores(pairs: DataFrame, query: str = "query", text: str = "text", chars: int = 512) -> DataFrame:
     """A stand-in for a cross-encoder: the share of the question's tokens in the first 512 characters."""
     q, t = F.array_distinct(T.tokens(F.col(query))), T.tokens(F.substring(F.col(text), 1, chars))

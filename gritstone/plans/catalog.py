@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gritstone.functions import text as T
-from gritstone.operators import matching, relational, retrieval, stateful
-from gritstone.plans import router
+from gritstone.operators import chunking, matching, relational, retrieval, stateful
+from gritstone.plans import router, rules, stores
 from gritstone.sources import parsers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,13 +80,19 @@ def header_footer_strip(t):
     return t("documents").select("doc_id", F.md5(T.drop_headers_footers(F.col("text")).cast("binary")).alias("h"))
 
 
-@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z]:\\[^\s]+', '[PATH]', 'g'), 'sk-[A-Za-z0-9]{16,}', '[API_KEY]', 'g'),
- '(?i)(api_key|password|secret|token)\s*[:=]\s*[^\s]+', '[SECRET]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g')) AS h FROM documents""")
+_REDACTED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+ '[A-Z]:\\[^\s]+', '[FILE_PATH]', 'g'), '/[^\s]+', '[FILE_PATH]', 'g'), '\.\./[^\s]+', '[FILE_PATH]', 'g'), '\.\\[^\s]+', '[FILE_PATH]', 'g'), 'sk-[a-zA-Z0-9]{10,}', '[API_KEY]', 'g'),
+ '(?i)api[_-]?key\s*[:=]\s*[^\s]+', 'api_key=[REDACTED]', 'g'), '(?i)password\s*[:=]\s*[^\s]+', 'password=[REDACTED]', 'g'), '(?i)secret\s*[:=]\s*[^\s]+', 'secret=[REDACTED]', 'g'),
+ '(?i)token\s*[:=]\s*[^\s]+', 'token=[REDACTED]', 'g'), '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b', '[EMAIL]', 'g'),
+ '(?s)Traceback \(most recent call last\):.*', '[STACK_TRACE]', 'g'), 'File "[^"]+", line \d+.*', '[STACK_TRACE]', 'g')"""
+
+
+@query(f"SELECT doc_id, md5({_REDACTED}) AS h FROM documents")
 def sanitize_redact(t):
     return t("documents").select("doc_id", F.md5(T.redact(F.col("text")).cast("binary")).alias("h"))
 
 
-@query(r"SELECT page_id, regexp_matches(lower(html), '<script|javascript:|onerror\s*=|onload\s*=|eval\s*\(|exec\s*\(') AS bad, len(html)::INT AS n FROM pages")
+@query(r"SELECT page_id, regexp_matches(lower(html), '<script|javascript:|onerror=|onload=|eval\(|exec\(') AS bad, len(html)::INT AS n FROM pages")
 def dangerous_flag(t):
     return t("pages").select("page_id", T.is_dangerous(F.col("html")).alias("bad"), F.length("html").alias("n"))
 
@@ -96,12 +102,15 @@ def doc_key_md5(t):
     return t("documents").select("doc_id", T.doc_key(F.col("source"), F.col("lang"), F.col("doc_id"), F.substring("text", 1, 2000)).alias("k"))
 
 
-@query(r"SELECT conv_id, turn, regexp_matches(lower(rtrim(text)), '(\.\.\.$|\b(is|are|was|were|has|have)$|\b(and|or|but|with|of|the)$)') AS open FROM conversations")
+@query(r"SELECT conv_id, turn, ends_with(q, '...') OR regexp_matches(lower(q), ' (was|is|has|did|will|were|are|have|had|would|could|should|and|or|but)\.?$') OR regexp_matches(q, '(?i)(Wellbore|Well)\s+[A-Z0-9/_-]+\s+was\s*\.\.?\.?$') AS open FROM (SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS q FROM conversations)")
 def incomplete_query_flag(t):
     return t("conversations").select("conv_id", "turn", T.is_unfinished(F.col("text")).alias("open"))
 
 
-@query(r"SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\.{4,}\s*[0-9]+\s*$'))) >= 2 AS toc FROM documents")
+_DOTTED = r"regexp_matches(x, '\.{4,}\s*[0-9]+\s*$')"
+
+
+@query(rf"SELECT doc_id, dotted >= 2 OR (dotted >= 1 AND (dotted + short) / n > 0.4) AS toc FROM (SELECT doc_id, len(a) AS n, len(list_filter(a, lambda x: {_DOTTED})) AS dotted, len(list_filter(a, lambda x: len(x) < 60 AND regexp_matches(x, '[0-9]+\s*$') AND NOT {_DOTTED})) AS short FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents))")
 def toc_filter(t):
     return t("documents").select("doc_id", T.is_toc(F.col("text")).alias("toc"))
 
@@ -230,12 +239,12 @@ def hit_rate(t):
     return t("events").groupBy("event_type").agg(F.round(F.avg(F.when(F.col("value") > 50, 1.0).otherwise(0.0)) * 100, 6).alias("rate"))
 
 
-@query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN left(text, 20) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 24 PRECEDING AND CURRENT ROW) AS ctx FROM conversations")
+@query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 24 PRECEDING AND CURRENT ROW) AS ctx FROM conversations")
 def conversation_context(t):
     return relational.context(t("conversations"), F.when(F.col("role") == "user", F.col("text")), "ctx").select("conv_id", "turn", "ctx")
 
 
-@query("SELECT conv_id, max_by(left(text, 40), turn) AS latest FROM conversations WHERE role = 'user' GROUP BY 1")
+@query("SELECT conv_id, max_by(text, turn) AS latest FROM conversations WHERE role = 'user' GROUP BY 1")
 def latest_user_message(t):
     return t("conversations").where("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("latest"))
 
@@ -284,12 +293,11 @@ _BM25 = f"""d AS (SELECT doc_id, {_TOK.format('text')} AS toks FROM documents),
  w AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM d), i0 AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf, any_value(avgdl) AS avgdl FROM tf, w GROUP BY term, n),
  i AS (SELECT term, avgdl, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM i0) ELSE idf END AS idf FROM i0), q AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({_TOK.format('query')}) AS term FROM {_Q}) GROUP BY 1, 2),
  s AS (SELECT query_id, tf.doc_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(toks) / avgdl))) AS score FROM q JOIN i USING (term) JOIN tf USING (term) JOIN d ON d.doc_id = tf.doc_id GROUP BY 1, 2),
- r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s)"""
+ r AS (SELECT query_id, doc_id, coalesce(round(score, 6), 0) AS score, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(round(score, 6), 0) DESC, doc_id) AS rank FROM (SELECT query_id, doc_id FROM {_Q}, d) LEFT JOIN s USING (query_id, doc_id))"""
 
 
 def _lexical(t, k: int = 10) -> DataFrame:
-    scored = retrieval.bm25(t("documents"), _questions(t)).withColumn("score", F.round("score", 6))
-    return retrieval.top_k(scored, k)
+    return retrieval.bm25_top(t("documents"), _questions(t), k)
 
 
 @query(f"WITH {_BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 10")
@@ -299,7 +307,7 @@ def bm25_topk(t):
 
 def _vector_sql(expr: str, order: str) -> str:
     return f"""SELECT query_id, vec_id, score, rank::INT AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id, round({expr}, 6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({expr}, 6) {order}, b.vec_id) AS rank
- FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 5) WHERE rank <= 10"""
+ FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) WHERE rank <= 10"""
 
 
 def _asked(t) -> DataFrame:
@@ -363,7 +371,7 @@ def _evaluated(t) -> DataFrame:
     return retrieval.evaluate_marked(marked, label.where("vec_id % 20 = 0").join(total, "label").select(F.col("vec_id").alias("query_id"), "n_rel"))
 
 
-_EVAL = f"""WITH run AS ({_vector_sql('list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])', 'DESC')}), rel AS (SELECT a.vec_id AS query_id, b.vec_id FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id < 5),
+_EVAL = f"""WITH run AS ({_vector_sql('list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])', 'DESC')}), rel AS (SELECT a.vec_id AS query_id, b.vec_id FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
  m AS (SELECT run.*, (rel.vec_id IS NOT NULL)::INT AS hit FROM run LEFT JOIN rel ON run.query_id = rel.query_id AND run.vec_id = rel.vec_id), n AS (SELECT query_id, count(*) AS n_rel FROM rel GROUP BY 1),
  e AS (SELECT m.query_id, k, n_rel, sum(hit) FILTER (rank <= k) AS hits, count(*) FILTER (rank <= k) AS shown, min(rank) FILTER (hit = 1) AS first, sum(hit / log2(rank + 1)) FILTER (rank <= k) AS dcg FROM m JOIN n USING (query_id), (VALUES (1), (3), (5), (10)) AS ks(k) GROUP BY 1, 2, 3),
  x AS (SELECT query_id, k, hits / shown AS p, hits / n_rel AS r, coalesce(1.0 / first, 0) AS rr, dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, least(k, n_rel) + 1) AS g(i)) AS ndcg FROM e)"""
@@ -387,23 +395,23 @@ def eval_macro(t):
 @query("SELECT p_name, n_name, levenshtein(lower(p_name), lower(n_name))::INT AS distance FROM (SELECT DISTINCT p_name FROM part), nation")
 def levenshtein_candidates(t):
     names = t("part").select("p_name").distinct()
-    return names.join(t("nation").select("n_name"), F.lit(True)).select("p_name", "n_name", F.levenshtein(F.lower("p_name"), F.lower("n_name")).alias("distance"))
+    return names.join(relational.small(t("nation").select("n_name")), F.lit(True)).select("p_name", "n_name", F.levenshtein(F.lower("p_name"), F.lower("n_name")).alias("distance"))
 
 
 @query()
 def fuzzy_accept(t):
-    scored = matching.candidates(t("part").select("p_partkey", "p_name"), t("part").select(F.col("p_name").alias("term")).distinct(), "p_name", "term")
+    scored = matching.candidates(t("part").select("p_partkey", "p_name"), t("part").select(F.col("p_name").alias("term")).distinct(), "p_name", "term", k=2, floor=75)
     return relational.accepted(scored, "p_partkey", "score", "term", 85, 10).select("p_partkey", "term", F.round("score", 6).alias("score"), "ok")
 
 
-@query("SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'empty' WHEN length(text) > 5000 THEN 'too_long' " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in ws) + f" THEN '{tool}'" for tool, ws in router.ROUTES) + " ELSE 'llm' END AS tool FROM conversations")
+@query()
 def route_case(t):
     return t("conversations").select("conv_id", "turn", router.route(F.col("text")).alias("tool"))
 
 
-@query(r"SELECT doc_id, CASE WHEN doc_id % 4 >= 2 THEN 'answer' WHEN length(text) < 50 THEN 'rewrite' WHEN NOT regexp_matches(text, '[.!?]\s*$') AND (contains(lower(text), 'is') OR contains(lower(text), 'accordingly') OR contains(lower(text), 'reported')) AND length(text) > 500 THEN 'answer' ELSE 'llm' END AS step FROM documents")
+@query(r"SELECT doc_id, CASE WHEN doc_id % 4 >= 2 THEN 'answer' WHEN length(text) < 50 THEN 'rewrite' WHEN NOT regexp_matches(q, '[.!?:]$') AND (contains(lower(q), 'is') OR contains(lower(q), 'accordingly') OR contains(lower(q), 'reported')) AND length(text) > 500 THEN 'answer' ELSE 'llm' END AS step FROM (SELECT *, regexp_replace(coalesce(source, ''), '^\s+|\s+$', '', 'g') AS q FROM documents)")
 def grade_case(t):
-    return t("documents").select("doc_id", router.grade(F.col("text"), F.col("doc_id") % 4).alias("step"))
+    return t("documents").select("doc_id", router.grade(F.coalesce("source", F.lit("")), F.col("text"), F.col("doc_id") % 4).alias("step"))
 
 
 @query()
@@ -418,7 +426,7 @@ def ttl_cache_replay(t):
 
 @query()
 def chunk_pack(t):
-    return stateful.pack_chunks(t("documents"))
+    return chunking.pack_chunks(t("documents"))
 
 
 # --- parsers over lines made of the tables' numbers ---------------------------------------------------------------
@@ -454,3 +462,7 @@ def parse_picks(t):
     say = "'NO 15/9-9  Lost Fm. Top  1 ER 5 5 5\nWell NO 15/9-', p_size, '\n# note\nWell name   Surface name   Obs#\nNO 15/9-', p_size, '   Hugin Fm. Top    1  ER  ', p_size, '.5  ', p_size, '  -', p_size, ' x\nNO 15/9-', p_size, '   Ty Fm. Base   ', p_size, ' ', p_size, '\n-----'"
     made = t("part").select(F.col("p_partkey").alias("source"), F.posexplode(F.split(F.expr(f"concat({say})"), "\n")).alias("line_no", "line"))
     return parsers.parse_picks(made)
+
+
+QUERIES |= rules.QUERIES | stores.QUERIES
+ORACLES |= rules.ORACLES | stores.ORACLES

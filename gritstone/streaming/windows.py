@@ -30,3 +30,15 @@ def run_once(df: DataFrame, name: str, mode: str = "append", checkpoint: str | N
     writer = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
     (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start().awaitTermination()
     return df.sparkSession.table(name)
+
+
+def metric_stream(spark: SparkSession, path: str, late: str = "10 minutes") -> DataFrame:
+    """A stream of a folder of JSON lines of metrics; lines without a sound time go."""
+    rows = spark.readStream.schema("timestamp string, metric string, value double, metadata map<string,string>").json(path)
+    return rows.withColumn("ts", F.try_to_timestamp("timestamp")).where("ts is not null").withWatermark("ts", late)
+
+
+def append_metrics(metrics: DataFrame, path: str, checkpoint: str) -> None:
+    """Write what a stream of metrics has, once, behind a log of JSON lines."""
+    rows = metrics.select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("timestamp"), "metric", "value", "metadata")
+    rows.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
