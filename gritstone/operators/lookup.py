@@ -60,28 +60,26 @@ def find_wells(asked: DataFrame, stored: DataFrame, fuzzy: bool = True) -> DataF
     """
     own = asked.select("query_id", "query", wells.query_well(F.col("query")).alias("named")).withColumn("k", T.picks_well_key(F.col("named")))
     store = stored.select("well").distinct().withColumn("k", T.picks_well_key(F.col("well")))
-    out = None
-
-    def settle(hits: DataFrame) -> None:
-        nonlocal out, rest
-        best = hits.groupBy("query_id").agg(F.min("well").alias("well"))
-        out = best if out is None else out.unionByName(best)
-        rest = rest.join(best, "query_id", "left_anti")
-
-    rest = own
-    settle(rest.where("k <> ''").join(store, "k"))
-    if fuzzy:
-        near = matching.match_label(rest.select("query_id", F.coalesce("named", F.when(F.length("query") < 50, F.trim("query"))).alias("named")).where("named is not null"), store, "named", "well", "query_id")
-        settle(near)
-    other = F.when(F.endswith("k", F.lit("A")), F.substring(F.col("k"), F.lit(1), F.length("k") - 1)).otherwise(F.concat("k", F.lit("A")))
-    settle(rest.where("k <> ''").withColumn("k", other).join(store, "k"))
     cut = lambda n: F.substring(F.col("k"), F.lit(1), F.length("k") - n)
-    shorter = store.select("well", F.explode(F.array(cut(1), cut(2))).alias("k")).where("length(k) > 2")
-    less = rest.where("k <> ''").select("query_id", F.explode(F.array(cut(1), cut(2))).alias("k")).where("length(k) > 2")
-    settle(rest.where("k <> ''").join(shorter, "k").select("query_id", "well").unionByName(less.join(store, "k").select("query_id", "well")))
+    other = F.when(F.endswith("k", F.lit("A")), cut(1)).otherwise(F.concat("k", F.lit("A")))
+    keyed = own.where("k <> ''")
+    # every rule of the key is an equality: the asked key as it is, changed or cut, with the stored key as it is or cut
+    tries = F.array(F.struct(F.lit(0).alias("rule"), F.col("k").alias("key")), F.struct(F.lit(2).alias("rule"), other.alias("key")), *(F.struct(F.lit(3).alias("rule"), cut(n).alias("key")) for n in (1, 2)))
+    by_key = keyed.select("query_id", F.explode(tries).alias("t")).select("query_id", "t.rule", "t.key").where("length(key) > 2").join(store.withColumnRenamed("k", "key"), "key")
+    longer = store.select("well", F.explode(F.array(cut(1), cut(2))).alias("k")).where("length(k) > 2")
+    by_cut = keyed.join(longer, "k").select("query_id", F.lit(3).alias("rule"), "well")
     tight = lambda c: F.regexp_replace(F.upper(c), r"\s", "")
-    settle(rest.where("named is not null").join(relational.small(store.select("well")), F.contains(tight("well"), tight("named")) | F.contains(tight("named"), tight("well"))))
-    return out
+    label = store.select("well", tight("well").alias("label"))
+    stretches = lambda c, least: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.transform(F.sequence(F.lit(least), F.greatest(F.length(c) - i + 1, F.lit(least))), lambda n: F.substring(c, i, n)))))
+    said = own.where("named is not null").select("query_id", tight("named").alias("said"))
+    inside = said.join(label.withColumn("said", F.explode(stretches(F.col("label"), 5))), "said").select("query_id", F.lit(4).alias("rule"), "well")
+    around = said.withColumn("label", F.explode(stretches(F.col("said"), 5))).join(label, "label").select("query_id", F.lit(4).alias("rule"), "well")
+    hits = by_key.select("query_id", "rule", "well").unionByName(by_cut).unionByName(inside).unionByName(around)
+    if fuzzy:
+        rest = own.join(keyed.join(store.select("k"), "k", "left_semi").select("query_id"), "query_id", "left_anti")
+        named = rest.select("query_id", F.coalesce("named", F.when(F.length("query") < 50, F.trim("query"))).alias("named")).where("named is not null")
+        hits = hits.unionByName(matching.match_label(named, store, "named", "well", "query_id").select("query_id", F.lit(1).alias("rule"), "well"))
+    return hits.groupBy("query_id").agg(F.min(F.struct("rule", "well")).alias("best")).select("query_id", "best.well")
 
 
 def lookup_picks(asked: DataFrame, picks: DataFrame, fuzzy: bool = True, preview: int = 25) -> DataFrame:
@@ -134,16 +132,13 @@ def find_petro(asked: DataFrame, petro: DataFrame) -> DataFrame:
     store = petro.select(T.well_key(F.col("well")).alias("stored")).distinct()
     own = asked.select("query_id", base.alias("a"), T.picks_well_key(F.col("well")).alias("b"))
     cut = lambda c, n: F.substring(c, F.lit(1), F.length(c) - n)
-    tries = [("a", F.col("stored")), ("b", F.col("stored")), ("a", T.strip_first_suffix(F.col("stored"))), ("b", T.strip_first_suffix(F.col("stored")))]
-    out, rest = None, own
-    for left, right in tries:
-        best = rest.join(store.withColumn("k_", right), F.col(left) == F.col("k_")).groupBy("query_id").agg(F.min("stored").alias("k"))
-        out = best if out is None else out.unionByName(best)
-        rest = rest.join(best, "query_id", "left_anti")
-    shorter = store.select("stored", F.explode(F.array(cut(F.col("stored"), 1), cut(F.col("stored"), 2))).alias("k_"))
-    less = rest.select("query_id", F.explode(F.array(cut(F.col("b"), 1), cut(F.col("b"), 2))).alias("k_"))
-    near = rest.join(shorter, F.col("b") == F.col("k_")).select("query_id", "stored").unionByName(less.join(store, F.col("k_") == F.col("stored")).select("query_id", "stored"))
-    return out.unionByName(near.groupBy("query_id").agg(F.min("stored").alias("k")))
+    rule = lambda n, c: F.struct(F.lit(n).alias("rule"), c.alias("key"))
+    a, b, stored = F.col("a"), F.col("b"), F.col("stored")
+    whole = own.select("query_id", F.explode(F.array(rule(0, a), rule(1, b), rule(4, cut(b, 1)), rule(4, cut(b, 2)))).alias("t")).select("query_id", "t.*").join(store.withColumn("key", stored), "key")
+    bare = own.select("query_id", F.explode(F.array(rule(2, a), rule(3, b))).alias("t")).select("query_id", "t.*").join(store.withColumn("key", T.strip_first_suffix(stored)), "key")
+    longer = own.select("query_id", F.lit(4).alias("rule"), b.alias("key")).join(store.withColumn("key", F.explode(F.array(cut(stored, 1), cut(stored, 2)))), "key")
+    hits = whole.unionByName(bare).unionByName(longer).where("key <> ''")
+    return hits.groupBy("query_id").agg(F.min(F.struct("rule", "stored")).alias("best")).select("query_id", F.col("best.stored").alias("k"))
 
 
 def petro_by_formation(petro: DataFrame) -> DataFrame:
@@ -229,7 +224,7 @@ def petro_payload(asked: DataFrame, petro: DataFrame) -> DataFrame:
 
 
 def answer_eval(asked: DataFrame, values: DataFrame) -> DataFrame:
-    """query_id, shape, answer, of questions and the long values of evaluation parameters (well, param, formation, value, source, page, at).
+    """query_id, shape, answer, of questions and the long values of evaluation parameters (well, param, formation, value, source, page, nth).
 
     The shapes of answer_petro; parameters come in their own order. A formation without parameter asks which one is meant. Of a
     well's tables the first by source and page counts; pages count from 0 and are shown from 1.
@@ -242,7 +237,7 @@ def answer_eval(asked: DataFrame, values: DataFrame) -> DataFrame:
     key = T.strip_suffixes(T.well_key(F.col("well")))
     first = values.withColumn("k", key).withColumn("n_", F.dense_rank().over(W.partitionBy("k").orderBy("source", "page"))).where("n_ = 1").drop("well", "n_")
     rows = own.join(first, "k")
-    named = F.max(F.when(F.contains(low, F.lower("formation")), F.struct((-F.col("at")).alias("n"), "formation"))).over(W.partitionBy("query_id"))
+    named = F.max(F.when(F.contains(low, F.lower("formation")), F.struct((-F.col("nth")).alias("n"), "formation"))).over(W.partitionBy("query_id"))
     order = F.array_position(F.array(*map(F.lit, formats.EVAL_ORDER)), F.col("param"))
     rows = rows.withColumns({"f": named["formation"], "place": F.when(order > 0, order).otherwise(99), "shown": formats.eval_value(F.col("param"), F.col("value"))})
     page = F.col("page") + 1
@@ -250,8 +245,8 @@ def answer_eval(asked: DataFrame, values: DataFrame) -> DataFrame:
     rows = rows.withColumns({"cite": cite, "head": F.concat(F.lit("| "), formats.label_of(F.col("param")), F.lit(" | "))})
     wide = rows.groupBy("query_id", "well", "p", "f", "param", "place", "head").agg(
         F.max("cite").alias("cite"), F.max(F.when(F.col("formation") == F.col("f"), F.col("shown"))).alias("cell"),
-        _lines(_ordered(["at"], F.concat(F.lit("| "), "formation", F.lit(" | "), "shown", F.lit(" |")))).alias("down"), F.array_join(_ordered(["at"], F.col("shown")), " | ").alias("across"),
-        F.array_join(_ordered(["at"], F.col("formation")), " | ").alias("forms"), F.count("*").alias("n"),
+        _lines(_ordered(["nth"], F.concat(F.lit("| "), "formation", F.lit(" | "), "shown", F.lit(" |")))).alias("down"), F.array_join(_ordered(["nth"], F.col("shown")), " | ").alias("across"),
+        F.array_join(_ordered(["nth"], F.col("formation")), " | ").alias("forms"), F.count("*").alias("n"),
     )
     unit = F.when(F.col("p").isin("Rhoma", "Rhofl"), " g/cc").otherwise("")
     label = formats.label_of(F.col("p"), formats.EVAL_NAMES)

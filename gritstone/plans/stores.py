@@ -169,15 +169,15 @@ def _eval_pages(t) -> DataFrame:
 
 
 _EVAL = f"""tab AS (SELECT s_suppkey AS page, 'r' || s_suppkey || '.pdf' AS source, {_K} AS k FROM supplier WHERE s_suppkey % 10 > 0),
- val AS (SELECT page, source, k, u.param, u.at, u.formation, u.value FROM tab, LATERAL (VALUES ('Rhoma', 1, 'Draupne', '2.' || k), ('Rhoma', 2, 'Hugin', '2.65'), ('Rhoma', 3, 'Sleipner', '2.7'), ('Grmax', 1, 'Draupne', k::VARCHAR), ('Grmax', 2, 'Hugin', '120.5'), ('Grmax', 3, 'Sleipner', '100'), ('m', 1, 'Draupne', '*'), ('m', 2, 'Hugin', '1.9'), ('m', 3, 'Sleipner', '2')) AS u(param, at, formation, value))"""
+ val AS (SELECT page, source, k, u.param, u.nth, u.formation, u.value FROM tab, LATERAL (VALUES ('Rhoma', 1, 'Draupne', '2.' || k), ('Rhoma', 2, 'Hugin', '2.65'), ('Rhoma', 3, 'Sleipner', '2.7'), ('Grmax', 1, 'Draupne', k::VARCHAR), ('Grmax', 2, 'Hugin', '120.5'), ('Grmax', 3, 'Sleipner', '100'), ('m', 1, 'Draupne', '*'), ('m', 2, 'Hugin', '1.9'), ('m', 3, 'Sleipner', '2')) AS u(param, nth, formation, value))"""
 
 
-@query(f"WITH {_EVAL} SELECT '15/9-F-' || k AS well, param, formation, value, source, page::INT AS page, at::INT AS at FROM val")
+@query(f"WITH {_EVAL} SELECT '15/9-F-' || k AS well, param, formation, value, source, page::INT AS page, nth::INT AS nth FROM val")
 def parse_eval(t):
-    return tables.eval_values(tables.parse_eval(_eval_pages(t))).select("well", "param", "formation", "value", "source", "page", "at")
+    return tables.eval_values(tables.parse_eval(_eval_pages(t))).select("well", "param", "formation", "value", "source", "page", "nth")
 
 
-@query(f"WITH {_EVAL} SELECT '15/9-F-' || k AS well, param, max(value) FILTER (at = 1) AS \"Draupne\", max(value) FILTER (at = 2) AS \"Hugin\", max(value) FILTER (at = 3) AS \"Sleipner\" FROM val GROUP BY 1, 2")
+@query(f"WITH {_EVAL} SELECT '15/9-F-' || k AS well, param, max(value) FILTER (nth = 1) AS \"Draupne\", max(value) FILTER (nth = 2) AS \"Hugin\", max(value) FILTER (nth = 3) AS \"Sleipner\" FROM val GROUP BY 1, 2")
 def eval_pivot(t):
     return lookup.pivoted(tables.eval_values(tables.parse_eval(_eval_pages(t))), ["Draupne", "Hugin", "Sleipner"])
 
@@ -194,7 +194,7 @@ def tool_eval_params(t):
     return lookup.answer_eval(asked, tables.eval_values(tables.parse_eval(_eval_pages(t))))
 
 
-@query(f"WITH {_EVAL} SELECT '15/9-F-' || k AS well, to_json(MAP {{'Grmax': 1, 'Rhoma': 1, 'm': 1}})::VARCHAR IS NOT NULL AS nested, 3::BIGINT AS params, max(value) FILTER (param = 'Rhoma' AND at = 2) AS cell FROM val GROUP BY k")
+@query(f"WITH {_EVAL} SELECT '15/9-F-' || k AS well, to_json(MAP {{'Grmax': 1, 'Rhoma': 1, 'm': 1}})::VARCHAR IS NOT NULL AS nested, 3::BIGINT AS params, max(value) FILTER (param = 'Rhoma' AND nth = 2) AS cell FROM val GROUP BY k")
 def nested_params(t):
     nested = tables.nested_values(tables.eval_values(tables.parse_eval(_eval_pages(t))))
     return nested.select("well", F.col("params").isNotNull().alias("nested"), F.size("params").cast("long").alias("params"), F.col("params")["Rhoma"]["Hugin"].alias("cell"))
@@ -230,7 +230,7 @@ def parse_petro(t):
 
 
 @query(f"""WITH {_SECTION_TEXTS} SELECT s_suppkey::BIGINT AS query_id, 'Summary of 15/9-F-' || k AS heading, source, 25.0::DOUBLE AS score, '[SECTION] Summary of 15/9-F-' || k || nl || 'Source: ' || source || ' (pages 1-1)' || nl || nl || 'Summary of 15/9-F-' || k || nl || 'closing words that are long enough to be kept, number ' || k AS answer FROM b WHERE s_suppkey % 3 = 0
- UNION ALL SELECT s_suppkey, 'Summary of 15/9-F-' || k, source, 25.0, '[SECTION] Summary of 15/9-F-' || k || nl || 'Source: ' || source || ' (pages 1-1)' || nl || nl || 'Summary of 15/9-F-' || k || nl || 'closing words that are long enough to be kept, number ' || k FROM b WHERE s_suppkey % 3 = 1
+ UNION ALL SELECT s_suppkey, 'Summary of 15/9-F-' || k, source, 15.0, '[SECTION] Summary of 15/9-F-' || k || nl || 'Source: ' || source || ' (pages 1-1)' || nl || nl || 'Summary of 15/9-F-' || k || nl || 'closing words that are long enough to be kept, number ' || k FROM b WHERE s_suppkey % 3 = 1
  UNION ALL SELECT s_suppkey, 'Summary of 15/9-F-' || k, source, 15.0, '[SECTION] Summary of 15/9-F-' || k || nl || 'Source: ' || source || ' (pages 1-1)' || nl || nl || 'Summary of 15/9-F-' || k || nl || 'closing words that are long enough to be kept, number ' || k FROM b WHERE s_suppkey % 3 = 2""")
 def tool_section(t):
     sections = tables.parse_sections(_report_pages(t)).where("heading not like '1.1%'")
@@ -275,7 +275,7 @@ def answer_priority(t):
     return lookup.direct_answers(outputs)
 
 
-@query("SELECT l_orderkey::BIGINT AS query_id, md5(string_agg(l_partkey::VARCHAR, chr(10) || chr(10) ORDER BY l_linenumber)) AS h FROM lineitem GROUP BY 1")
+@query("SELECT l_orderkey::BIGINT AS query_id, md5(string_agg(l_partkey::VARCHAR, chr(10) || chr(10) ORDER BY l_linenumber, l_partkey::VARCHAR)) AS h FROM lineitem GROUP BY 1")
 def answer_context(t):
     parts = t("lineitem").select(F.col("l_orderkey").cast("long").alias("query_id"), F.col("l_linenumber").alias("seq"), F.col("l_partkey").cast("string").alias("content"))
     return lookup.context_text(parts).select("query_id", F.md5(F.col("context").cast("binary")).alias("h"))
@@ -303,7 +303,8 @@ def _typos(t) -> DataFrame:
 
 @query()
 def formation_of_question(t):
-    return matching.resolve_formation(_typos(t), _picks(t).select("formation").distinct(), "query", "formation", "query_id")
+    names = _picks(t).select("formation").union(_petro(t).select("formation")).distinct()
+    return matching.resolve_formation(_typos(t), names, "query", "formation", "query_id")
 
 
 @query()
@@ -385,11 +386,11 @@ def hits_by_file(t):
     return retrieval.by_file(t("lineitem").select(F.col("l_orderkey").alias("query_id"), source.alias("source"), F.col("l_linenumber").alias("rank")))
 
 
-@query("""WITH u AS (SELECT l_orderkey AS query_id, l_partkey AS doc_id, 0 AS part, l_linenumber AS o FROM lineitem WHERE l_linenumber <= 2 UNION ALL SELECT l_orderkey, l_partkey, 1, l_linenumber FROM lineitem), f AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY part, o) = 1)
+@query("""WITH u AS (SELECT l_orderkey AS query_id, l_partkey AS doc_id, 0 AS part, l_linenumber * 10000000 + l_partkey AS o FROM lineitem WHERE l_linenumber <= 2 UNION ALL SELECT l_orderkey, l_partkey, 1, l_linenumber * 10000000 + l_partkey FROM lineitem), f AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY part, o) = 1)
  SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY part, o)::INT AS place FROM f""")
 def ordered_union(t):
-    rows = t("lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("doc_id"), F.col("l_linenumber").alias("o"))
-    return relational.ordered_union([rows.where("o <= 2"), rows], ["query_id", "doc_id"], "o").select("query_id", "doc_id", "place")
+    rows = t("lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("doc_id"), (F.col("l_linenumber").cast("long") * 10_000_000 + F.col("l_partkey")).alias("o"))
+    return relational.ordered_union([rows.where("o < 30000000"), rows], ["query_id", "doc_id"], "o").select("query_id", "doc_id", "place")
 
 
 @query("SELECT l_orderkey AS query_id, l_partkey % 5 AS source, l_suppkey % 2 AS page, arg_min(l_partkey, (l_linenumber, l_partkey)) AS doc FROM lineitem GROUP BY 1, 2, 3")
@@ -473,7 +474,7 @@ def bounded_cache(t):
     return stateful.bounded_cache_replay(t("events"), 3600, 3, "event_type", "user_id")
 
 
-@query("SELECT event_type AS key, max(epoch(ts))::BIGINT AS last_use FROM events GROUP BY 1 HAVING (SELECT max(epoch(ts))::BIGINT FROM events) - max(epoch(ts))::BIGINT > 600")
+@query("SELECT event_type AS key, floor(max(epoch(ts)))::BIGINT AS last_use FROM events GROUP BY 1 HAVING (SELECT floor(max(epoch(ts)))::BIGINT FROM events) - floor(max(epoch(ts)))::BIGINT > 600")
 def idle_buckets(t):
     use = t("events").groupBy(F.col("event_type").alias("key")).agg(F.max(F.unix_timestamp(F.col("ts").cast("timestamp"))).alias("last_use"))
     now = t("events").agg(F.max(F.unix_timestamp(F.col("ts").cast("timestamp"))).alias("now"))

@@ -165,9 +165,9 @@ def parse_eval(pages: DataFrame) -> DataFrame:
 
 
 def eval_values(tables: DataFrame) -> DataFrame:
-    """The long form of parse_eval: well, param, formation, value, source, page, at (the formation's place in the table's head)."""
+    """The long form of parse_eval: well, param, formation, value, source, page, nth (the formation's place in the table's head)."""
     rows = tables.select("well", "formations", "source", "page", F.explode("params").alias("param", "row"))
-    return rows.select("well", "param", F.explode("row").alias("formation", "value"), "source", "page", "formations").withColumn("at", F.array_position("formations", F.col("formation")).cast("int")).drop("formations")
+    return rows.select("well", "param", F.explode("row").alias("formation", "value"), "source", "page", "formations").withColumn("nth", F.array_position("formations", F.col("formation")).cast("int")).drop("formations")
 
 
 def nested_values(values: DataFrame) -> DataFrame:
