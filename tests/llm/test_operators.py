@@ -278,9 +278,8 @@ def test_urls(spark):
     urls = ["http://a.Example.NET/en/x", "http://example.net/de/", "http://net/", "http://xnet/", "x", None, "", "https://example.com/de/?q", "https://m.org/fr/1#a", "https://m.org/f", "http://a.net", "http://a.b/wp-login.php"]
     d = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     want = [("example.net/en/", "allow"), ("net/", "block"), ("net/", "block"), (None, "allow"), (None, "allow"), (None, "allow"), (None, "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"), (None, "allow"), (None, "allow"), (None, "block")]
-    for inline in (True, False):
-        got = url_filter.url_filter(d, inline=inline).orderBy("page_id").collect()
-        assert [(r["rule"], r["verdict"]) for r in got] == want
+    got = url_filter.url_filter(d).orderBy("page_id").collect()
+    assert [(r["rule"], r["verdict"]) for r in got] == want
     assert got[0]["host"] == "a.example.net" and got[0]["path"] == "/en/x" and got[4]["host"] == ""
     assert url_filter.url_filter(d.limit(0)).count() == 0
 
@@ -288,8 +287,8 @@ def test_urls(spark):
 def test_urls_in_upper_case(spark):
     urls = ["http://x.com/Casino/", "http://x.com/SETUP.EXE", "http://x.com/WP-Login.php?A", "http://example.com/DE/", "http://example.com/de/"]
     d = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    for inline in (True, False):
-        got = url_filter.url_filter(d, inline=inline).orderBy("page_id").collect()
+    for rules in (None, url_filter.default_rules() + [url_filter.host_rule(f"h{i}.org/", "block") for i in range(3000)]):
+        got = url_filter.url_filter(d, rules).orderBy("page_id").collect()
         assert [(r["matched_by"], r["verdict"]) for r in got] == [("casino", "block"), ("executable", "block"), ("wp-login", "block"), (None, "allow"), ("example.com/de/", "block")]
         assert got[1]["path"] == "/SETUP.EXE"
 
