@@ -335,7 +335,8 @@ def sample_top(lattice: Lattice, fresh: Callable[[int], _Path], key: int, k: int
         child = _Path(edges, begin).measure(lattice)
         found.append((-value, child))
         push(path, lo, j - 1, less, -value)
-        push(path, j, j, tuple(barred | {new}), -value) if len(others) > 1 else None
+        if len(others) > 1:  # the path's own piece is not among those that are less: its mass is off already
+            push(path, j, j, tuple((barred | {new}) - {edge}), -value)
         push(path, j + 1, hi, (), -value)
         push(child, j + 1, len(child.edges) - 1, (), -value)
     bar = found[k][0] if len(found) > k else -math.inf

@@ -73,15 +73,10 @@ def test_scratch_tables_go(spark):
         path = spark._jvm.org.apache.hadoop.fs.Path(file)
         assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) and exists(kept)
 
-    class Context:
-        master = "spark://somewhere:7077"
-        getConf = spark.sparkContext.getConf
-
-    class Session:
-        conf, sparkContext = spark.conf, Context()
-
+    unset = type("Unset", (), {"get": lambda self, *a: None})()
+    cluster = type("Context", (), {"master": "spark://somewhere:7077", "getConf": lambda self: unset})()
     with pytest.raises(ValueError, match="checkpoint"):
-        common.shared_dir(Session())
+        common.shared_dir(type("Session", (), {"conf": unset, "sparkContext": cluster})())
 
 
 def test_wide_vectors(spark):
@@ -183,6 +178,12 @@ def test_sampling_against_enumeration():
     both = Counter((tuple(f[0].ids), tuple(f[1].ids)) for f in found)
     for k, p in sorted(chance.items(), key=lambda x: -x[1])[:4]:
         assert first[k] / len(keys) == pytest.approx(p, abs=0.015)
+    third = Counter(tuple(f[2].ids) for f in segmentation.sampled(segmentation.Pieces(public_tokenizers.path("piece_bpe_32k.model"), 6.0), [text] * 4000, keys[:4000], 3))
+    warm = {k: math.exp(v / 6) for k, v in every.items()}
+    warm = {k: v / sum(warm.values()) for k, v in warm.items()}
+    for k in sorted(warm, key=warm.get)[-4:]:
+        want = sum(warm[a] * warm[b] / (1 - warm[a]) * warm[k] / (1 - warm[a] - warm[b]) for a, b in itertools.permutations(warm, 2) if k not in (a, b))
+        assert third[k] / 4000 == pytest.approx(want, abs=0.03)
     for a, b in itertools.permutations(sorted(chance, key=chance.get, reverse=True)[:3], 2):
         assert both[a, b] / len(keys) == pytest.approx(chance[a] * chance[b] / (1 - chance[a]), abs=0.015)
     weights = [math.exp(s.logp) / s.inclusion for f in found for s in f]
