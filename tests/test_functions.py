@@ -4,7 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gritstone.functions import text as T
-from gritstone.operators import matching, relational, retrieval, stateful
+from gritstone.operators import chunking, matching, relational, retrieval, stateful
 from gritstone.plans import router
 from gritstone.sources import files
 from gritstone.streaming import windows
@@ -38,7 +38,7 @@ def test_toc_and_headers(spark):
 
 
 def test_redaction(spark):
-    assert one(spark, T.redact(F.col("v")), v="mail a.b@c.org password: hunter2") == "mail [EMAIL] [SECRET]"
+    assert one(spark, T.redact(F.col("v")), v="mail a.b@c.org password: hunter2") == "mail [EMAIL] password=[REDACTED]"
 
 
 @given(st.text("abc", max_size=8), st.text("abc", max_size=8))
@@ -49,7 +49,7 @@ def test_ratio_bounds(a, b):
 
 
 def test_route(spark):
-    assert one(spark, router.route(F.col("v")), v="What is the depth of Hugin?") == "lookup_well_picks"
+    assert one(spark, router.route(F.col("v")), v="What is the depth of Hugin formation in 15/9-F-4?") == "lookup_well_picks"
     assert one(spark, router.route(F.col("v")), v="hello") == "llm"
 
 
@@ -77,7 +77,7 @@ def test_bucket_and_cache(spark):
 def test_chunks(spark):
     text = " ".join(f"Word{i} " + "x " * 9 + "end." for i in range(30))
     d = spark.createDataFrame([(1, text), (2, "short."), (3, None)], "doc_id long, text string")
-    got = stateful.pack_chunks(d.where("text is not null"), size=100, overlap=20, least=20).collect()
+    got = chunking.pack_chunks(d.where("text is not null"), size=100, overlap=20, least=20).collect()
     assert {r["doc_id"] for r in got} == {1} and all(r["token_count"] <= 111 for r in got)
 
 
