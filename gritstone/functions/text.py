@@ -84,8 +84,8 @@ def canonical_token(text: Column) -> Column:
 def extract_well(text: Column) -> Column:
     """The first well name in text, canonical: the platform form first, then the plain one; null if none."""
     up = F.upper(text)
-    platform = F.regexp_extract(up, r"([0-9]{1,2}[/_-][0-9]{1,2}[-_ ]?[A-Z][-_ ]?[0-9]{1,3}[A-Z]?)", 1)
-    plain = F.regexp_extract(up, r"([0-9]{1,2}[/_-][0-9]{1,2}[-_][0-9]{1,3}[A-Z]?)", 1)
+    platform = F.regexp_extract(up, r"([0-9]{1,2}[/_-][0-9]{1,2}[-_ ]?[A-Z][-_ ]?[0-9]+[A-Z]?)", 1)
+    plain = F.regexp_extract(up, r"([0-9]{1,2}[/_-][0-9]{1,2}[-_][0-9]+[A-Z]?)", 1)
     return canonical_well(F.coalesce(F.nullif(platform, F.lit("")), F.nullif(plain, F.lit(""))))
 
 

@@ -36,13 +36,17 @@ def indel_ratio(a: str, b: str) -> float:
 
 
 def partial_indel_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter text with a stretch of the longer one, as long or, at its ends, shorter."""
+    """The best ratio of the shorter text with a stretch of the longer one, as long or, at its ends, shorter; of two as long, either way."""
     a, b = sorted((a, b), key=len)
     if not a:
         return 100.0 if not b else 0.0
-    n = len(a)
     if a in b:
         return 100.0
+    return max(_stretched(a, b), _stretched(b, a)) if len(a) == len(b) else _stretched(a, b)
+
+
+def _stretched(a: str, b: str) -> float:
+    n = len(a)
     whole = max(indel_ratio(a, b[i : i + n]) for i in range(len(b) - n + 1))
     return max([whole, *(indel_ratio(a, x) for i in range(1, n) for x in (b[:i], b[-i:]))])
 
