@@ -197,7 +197,7 @@ def test_value_code():
 
 
 def test_licenses(spark, odd, empty):
-    apache = dict(licenses.TEMPLATES)["Apache-2.0"]
+    apache = {t.name: t.text for t in licenses.TEMPLATES}["Apache-2.0"]
     words = apache.split()
     cut = " ".join(w for n, w in enumerate(words) if n % 9)  # a ninth of the words is gone
     rows = [(1, "prose before. " + apache + " prose after"), (2, "x " * 300 + cut), (3, "Released under the MIT License.\nmore\nReleased under the MIT License."), (4, "the license of this work is open"), (5, None)]
@@ -212,7 +212,7 @@ def test_license_copies():
     """Each copy is found once, alone in a text, back to back, damaged or between words."""
     scanner = licenses.Scanner()
     for name in ("MIT-short", "Apache-2.0", "MIT", "ISC"):
-        text = dict(licenses.TEMPLATES)[name]
+        text = {t.name: t.text for t in licenses.TEMPLATES}[name]
         whole = licenses.license_words(text)
         n = len(whole)
         damaged = [w for i, w in enumerate(whole) if i != n // 3]
