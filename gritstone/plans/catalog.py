@@ -115,9 +115,10 @@ def toc_filter(t):
     return t("documents").select("doc_id", T.is_toc(F.col("text")).alias("toc"))
 
 
-@query("SELECT p_partkey, round(0.8 + CASE WHEN p_retailprice BETWEEN 1500 AND 8000 THEN 0.1 WHEN p_retailprice < 500 THEN -0.3 ELSE 0 END + CASE WHEN p_size > 50 THEN 0.05 ELSE 0 END, 6) AS c FROM part")
+@query("SELECT p_partkey, round(CASE WHEN chars = 0 THEN 0 ELSE least(1, 0.8 + CASE WHEN chars BETWEEN 1500 AND 8000 THEN 0.1 WHEN chars < 500 THEN -0.3 ELSE 0 END + CASE WHEN p_size > 50 THEN 0.05 ELSE 0 END) END, 6)::DOUBLE AS c FROM (SELECT *, p_retailprice::DOUBLE * (p_size % 6) / 2 AS chars FROM part)")
 def pdf_confidence(t):
-    return t("part").select("p_partkey", F.round(T.pdf_confidence(F.col("p_retailprice"), F.lit(1), F.col("p_size")), 6).alias("c"))
+    chars = F.col("p_retailprice").cast("double") * (F.col("p_size") % 6) / 2
+    return t("part").select("p_partkey", F.round(T.pdf_confidence(chars, F.lit(1), F.col("p_size")), 6).alias("c"))
 
 
 @query("SELECT page_id, 'Source: ' || url || CASE WHEN page_id % 3 = 0 THEN '' WHEN page_id % 3 = 1 THEN ' (page ' || page_id || ')' ELSE ' (pages ' || page_id || '-' || page_id + 2 || ')' END AS cite FROM pages")
