@@ -125,12 +125,12 @@ class _Tokens:
         return self.flat[at], np.add.reduceat(size, np.cumsum(count) - count) if len(size) else np.zeros(0, np.int64)
 
 
-def _tokenise(path: str, end_id: int, kind: str) -> Callable:
+def _tokenise(path: str, cut: bool, end_id: int, kind: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        cut, end = may_be_cut(path), np.array([end_id], kind).tobytes()
+        end = np.array([end_id], kind).tobytes()
         tokens = _Tokens(path) if cut else _WholeTexts(path)
         for batch in slices(batches, budget=(8 if cut else 1) << 20):
             ids, count = tokens.ids(batch.column("text"))
@@ -231,7 +231,7 @@ def _write_tokens(docs: DataFrame, tokenizer: str, end_id: int, block_tokens: in
     most = max(Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True), end_id + 1)
     kind = "<u2" if most <= 1 << 16 else "<u4"
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    encoded = stored(read.mapInArrow(_tokenise(tokenizer, end_id, kind), "doc_id long, ids binary"), "token-ids")
+    encoded = stored(read.mapInArrow(_tokenise(tokenizer, may_be_cut(tokenizer), end_id, kind), "doc_id long, ids binary"), "token-ids")
     tally = encoded.select("ids").mapInArrow(_tally(kind, most), "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     counts = sorted(tally.collect(), key=lambda r: (-r["n"], r["id"]))
     ids = np.array([r["id"] for r in counts], np.uint32)
