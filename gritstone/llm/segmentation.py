@@ -14,9 +14,11 @@ import math
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +29,7 @@ SPACE = "▁"
 _PARTS = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MASK = (1 << 64) - 1
-_FILTER_BITS = 20
+_FILTER_BITS = 18
 
 
 #: Texts that a model without normaliser, and with a space before each text, gives back as they are.
@@ -76,27 +78,24 @@ class Pieces:
         for i, name in zip(plain, names, strict=True):
             self.text[i] = name.encode()
         self.longest = max(map(len, names))
+        #: For each length the hashes of its pieces in order, their ids and weights, and by slot whether a piece is (1) or a longer one begins (2) there.
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
-        for length in range(1, self.longest + 1):
-            own = [(i, w) for i, name, w in zip(plain, names, weight, strict=True) if len(name) == length]
-            if not own:
-                continue
-            hashes = np.array([self._hash(sp.id_to_piece(i)) for i, _ in own], np.uint64)
-            order = np.argsort(hashes)
-            seen = np.zeros(1 << _FILTER_BITS, bool)
-            seen[(mix64(hashes) >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-            self.by_length[length] = (hashes[order], np.array([i for i, _ in own])[order], np.array([w for _, w in own])[order], seen)
+        code, length = _codes("".join(names)), np.array([len(name) for name in names])
+        begin, own = np.cumsum(length) - length, np.array(plain)
+        h, at = np.zeros(len(names), np.uint64), np.arange(len(names))
+        for size in range(1, self.longest + 1):
+            h = h * _P + code[begin[at] + (size - 1)] + np.uint64(1)
+            ends = length[at] == size
+            marks = np.zeros(1 << _FILTER_BITS, np.uint8)
+            marks[_slot(h[ends])] = 1
+            marks[_slot(h[~ends])] |= 2
+            order = np.flatnonzero(ends)[np.argsort(h[ends])]
+            self.by_length[size] = (h[order], own[at[order]], weight[at[order]], marks)
+            h, at = h[~ends], at[~ends]
         self.piece_bytes = np.frombuffer(b"".join(self.text), np.uint8)
         self.piece_size = np.array([len(t) for t in self.text])
         self.piece_start = np.cumsum(self.piece_size) - self.piece_size
 
-    @staticmethod
-    def _hash(text: str) -> int:
-        h = 0
-        for c in text:
-            h = (h * int(_P) + ord(c) + 1) & _MASK
-        return h
-
     def spelled(self, char: str) -> list[int]:
         found = [self.bytes_ids.get(f"<0x{b:02X}>") for b in char.encode()]
         return [self.unknown] if None in found else found
@@ -112,83 +111,99 @@ class Pieces:
         return whole[1:] if whole[:1] == b" " else whole
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+
+
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h * _P >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
+
+
 class Lattice:
     """The lattices of a batch's distinct parts: a state for each character, edges by state, the likeliest first."""
 
-    def __init__(self, pieces: Pieces, parts: list[str]):
-        text = "".join(parts)
-        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        length = np.fromiter(map(len, parts), np.int64, len(parts))
+    def __init__(self, pieces: Pieces, parts: pa.Array):
+        _, ends, data = parts.buffers()
+        ends = np.frombuffer(ends, np.int64)[parts.offset : parts.offset + len(parts) + 1]
+        code = _codes(data[int(ends[0]) : int(ends[-1])].to_pybytes().decode())
+        length = pc.utf8_length(parts).to_numpy().astype(np.int64)
         self.start = np.cumsum(length) - length
-        end = np.repeat(self.start + length, length)
         n = len(code)
-        self.left = end - np.arange(n)
+        left = np.repeat(self.start + length, length) - np.arange(n)
         h, at = np.zeros(n, np.uint64), np.arange(n)
         covered = np.zeros(n, bool)
         found: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
-        for size in range(1, pieces.longest + 1):
-            keep = self.left[at] >= size
-            at = at[keep]
-            if not len(at):
-                break
-            h = h[keep] * _P + code[at + (size - 1)] + np.uint64(1)
-            if size not in pieces.by_length:
-                continue
-            table, own, w, seen = pieces.by_length[size]
-            maybe = np.flatnonzero(seen[(mix64(h) >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
+        for size, (table, own, w, marks) in pieces.by_length.items():
+            h = h * _P + code[at + (size - 1)] + np.uint64(1)
+            mark = marks[_slot(h)]
+            maybe = np.flatnonzero(mark & 1)
             place = np.minimum(np.searchsorted(table, h[maybe]), len(table) - 1)
             hit = table[place] == h[maybe]
             maybe, place = at[maybe[hit]], place[hit]
             if size == 1:
                 covered[maybe] = True
             found.append((size, maybe, own[place], w[place]))
+            more = np.flatnonzero((mark > 1) & (left[at] > size))
+            h, at = h[more], at[more]
+            if not len(at):
+                break
         bare = np.flatnonzero(~covered)
         chars, which = np.unique(code[bare], return_inverse=True)
         self.spelled = [pieces.spelled(chr(int(c))) for c in chars]
         spelled = np.array([len(s) for s in self.spelled], float)[which] * pieces.byte_weight if len(bare) else np.zeros(0)
         found.insert(0, (1, bare, pieces.size + which, spelled))
 
-        beta = self._masses(found, n)
-
         degree = np.zeros(n + 1, np.int64)
         for _, src, _, _ in found:
             degree[src] += 1
         self.first = np.cumsum(degree) - degree
-        edges = int(degree.sum())
+        edges = int(self.first[n])
         self.dst, self.ids, self.final = np.empty(edges, np.int32), np.empty(edges, np.int32), np.empty(edges, bool)
-        self.logp, self.upto = np.empty(edges), np.empty(edges)
-        slot, run = self.first.copy(), np.zeros(n)
+        weight, slot = np.empty(edges), self.first.copy()
         for size, src, ids, w in reversed(found):  # long pieces first: mostly the likelier
-            to, final = slot[src], self.left[src] == size
-            slot[src] += 1
-            logp = np.minimum(w + beta[np.where(final, n, src + size)] - beta[src], 0.0)
-            run[src] += np.exp(logp)
-            self.dst[to], self.ids[to], self.final[to], self.logp[to], self.upto[to] = src + size, ids, final, logp, run[src]
+            to = slot[src]
+            slot[src] = to + 1
+            self.dst[to], self.ids[to], self.final[to], weight[to] = src + size, ids, left[src] == size, w
+        self.logp, self.upto = self._masses(weight, degree[:n], left)
+        at = np.arange(n)
+        for rank in range(1, int(degree.max())):  # chances of a state's edges add up one after the other
+            at = at[degree[at] > rank]
+            edge = self.first[at] + rank
+            self.upto[edge] += self.upto[edge - 1]
         self.upto[self.first[1:] - 1] = 2.0
         self.ext_size = np.concatenate([np.ones(pieces.size, np.int64), np.array([len(s) for s in self.spelled], np.int64)])
         self.ext_flat = np.concatenate([np.arange(pieces.size), np.array([i for s in self.spelled for i in s], np.int64)])
         self.ext_start = np.cumsum(self.ext_size) - self.ext_size
 
-    def _masses(self, found: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], n: int) -> np.ndarray:
-        """The log of the mass from each state to the end of its part, the states nearest to an end first."""
-        src = np.concatenate([s.astype(np.int32) for _, s, _, _ in found])
-        to = np.concatenate([(s + size).astype(np.int32) for size, s, _, _ in found])
-        w = np.concatenate([w for _, _, _, w in found])
-        far = self.left[src]
-        to[self.left[src] == np.concatenate([np.full(len(s), size) for size, s, _, _ in found])] = n  # an end: mass 1
-        order = np.lexsort((src, far))
-        src, to, w, far = src[order], to[order], w[order], far[order]
+    def _masses(self, weight: np.ndarray, degree: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each edge the log of its chance and the chance, given its state, from the masses of states, those nearest to an end first."""
+        n = len(left)
+        states = np.argsort(left.astype(np.uint16) if n and left.max() < 1 << 16 else left, kind="stable")
+        size = degree[states]
+        ends = np.cumsum(size)
+        order = np.repeat(self.first[states] - (ends - size), size) + np.arange(len(weight))
+        w, to = weight[order], np.where(self.final, n, self.dst)[order]
+        log, chance = np.empty(len(weight)), np.empty(len(weight))
         beta = np.zeros(n + 1)
-        cuts = [0, *(np.flatnonzero(np.diff(far)) + 1).tolist(), len(far)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if a == b:
+        cuts = np.cumsum(np.bincount(left)[1:]).tolist() if n else []
+        s = a = 0
+        for e in cuts:
+            if s == e:
                 continue
-            mass, own = w[a:b] + beta[to[a:b]], src[a:b]
-            first = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1])
+            b, own = int(ends[e - 1]), size[s:e]
+            first = ends[s:e] - own - a
+            mass = w[a:b] + beta[to[a:b]]
             top = np.maximum.reduceat(mass, first)
-            size = np.diff(np.concatenate([first, [b - a]]))
-            beta[own[first]] = top + np.log(np.add.reduceat(np.exp(mass - np.repeat(top, size)), first))
-        return beta
+            mass -= np.repeat(top, own)
+            share = np.exp(mass)
+            total = np.add.reduceat(share, first)
+            rest = np.log(total)
+            beta[states[s:e]] = top + rest
+            log[a:b], chance[a:b] = np.minimum(mass - np.repeat(rest, own), 0.0), share / np.repeat(total, own)
+            s, a = e, b
+        logp, p = np.empty(len(weight)), np.empty(len(weight))
+        logp[order], p[order] = log, chance
+        return logp, p
 
     def walk(self, parts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A segmentation of each of parts, drawn with its random key: edges, part after part, and their number."""
@@ -355,28 +370,32 @@ def _state(lattice: Lattice, path: _Path, j: int) -> int:
     return int(lattice.dst[path.edges[j - 1]])
 
 
-def parts_of(text: str) -> list[str]:
-    """The parts of a text that no piece crosses: each begins at a run of spaces or at a line feed."""
+def _marked(text: str | None) -> str:
+    """A text's parts, which no piece crosses, with spaces between: each begins at a run of spaces or at a line feed."""
     if not text:
-        return []
+        return ""
     if SPACE in text or "  " in text:
-        return _PARTS.findall(SPACE + text.replace(" ", SPACE))
-    parts = (SPACE + text.replace(" ", f" {SPACE}").replace("\n", " \n ")).split(" ")
-    return [p for p in parts if p] if "" in parts else parts
+        return " ".join(_PARTS.findall(SPACE + text.replace(" ", SPACE)))
+    return SPACE + text.replace(" ", f" {SPACE}").replace("\n", " \n ")
+
+
+def _parts(texts: list[str | None]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The parts of all texts as places among the distinct ones, these, and the number of parts of each text."""
+    split = pc.split_pattern(pa.array([_marked(t) for t in texts], pa.large_string()), " ")
+    size, flat = pc.list_value_length(split).to_numpy(zero_copy_only=False), split.flatten()
+    held = pc.not_equal(flat, "")
+    row = np.repeat(np.arange(len(texts)), size)[held.to_numpy(zero_copy_only=False)]
+    coded = flat.filter(held).dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary, np.bincount(row, minlength=len(texts))
 
 
 def sampled(pieces: Pieces, texts: list[str | None], keys: list[int], k: int) -> list[list[Sample]]:
     """The k sampled segmentations of each text, seeded by its key. An empty text has one, of no piece."""
-    split = [parts_of(t or "") for t in texts]
-    every = [p for s in split for p in s]
-    place: dict[str, int] = {}
-    flat = np.fromiter((place.setdefault(p, len(place)) for p in every), np.int64, len(every))
-    distinct = list(place)
+    flat, distinct, count = _parts(texts)
     empty = [Sample(np.zeros(0, np.int64), 0.0, 0.0, 1.0)]
     if not len(flat):
         return [list(empty) for _ in texts]
     lattice = Lattice(pieces, distinct)
-    count = np.array([len(s) for s in split])
     begin = np.cumsum(count) - count
     own = np.arange(len(flat)) - np.repeat(begin, count)
     seed = np.repeat(np.array(keys, np.uint64), count)
@@ -408,6 +427,12 @@ def _lists(values: np.ndarray, size: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(values))
 
 
+@lru_cache(2)
+def _pieces(path: str, temperature: float) -> Pieces:
+    """A worker reads a model once, not once for each task."""
+    return Pieces(path, temperature)
+
+
 def _encoder(path: str, k: int, temperature: float, keep_ids: bool, seed: int) -> Callable:
     def encoded(pieces: Pieces, batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
@@ -430,7 +455,7 @@ def _encoder(path: str, k: int, temperature: float, keep_ids: bool, seed: int) -
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns.values()], ["doc_id", *columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path, temperature)
+        pieces = _pieces(path, temperature)
         for batch in slices(batches, budget=_SLICE):
             yield encoded(pieces, batch)  # lattices and draws are gone by now
 
