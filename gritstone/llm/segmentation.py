@@ -164,6 +164,7 @@ class Lattice:
             to = slot[src]
             slot[src] = to + 1
             self.dst[to], self.ids[to], self.final[to], weight[to] = src + size, ids, left[src] == size, w
+        del found, src, ids, w, to, slot  # the masses take the same room again
         self.logp, self.upto = self._masses(weight, degree[:n], left)
         at = np.arange(n)
         for rank in range(1, int(degree.max())):  # chances of a state's edges add up one after the other
@@ -181,9 +182,9 @@ class Lattice:
         states = np.argsort(left.astype(np.uint16) if n and left.max() < 1 << 16 else left, kind="stable")
         size = degree[states]
         ends = np.cumsum(size)
-        order = np.repeat(self.first[states] - (ends - size), size) + np.arange(len(weight))
+        order = (np.repeat(self.first[states] - (ends - size), size) + np.arange(len(weight))).astype(np.int32)
         w, to = weight[order], np.where(self.final, n, self.dst)[order]
-        log, chance = np.empty(len(weight)), np.empty(len(weight))
+        logp, chance = np.empty(len(weight)), np.empty(len(weight))
         beta = np.zeros(n + 1)
         cuts = np.cumsum(np.bincount(left)[1:]).tolist() if n else []
         s = a = 0
@@ -199,11 +200,9 @@ class Lattice:
             total = np.add.reduceat(share, first)
             rest = np.log(total)
             beta[states[s:e]] = top + rest
-            log[a:b], chance[a:b] = np.minimum(mass - np.repeat(rest, own), 0.0), share / np.repeat(total, own)
+            logp[order[a:b]], chance[order[a:b]] = np.minimum(mass - np.repeat(rest, own), 0.0), share / np.repeat(total, own)
             s, a = e, b
-        logp, p = np.empty(len(weight)), np.empty(len(weight))
-        logp[order], p[order] = log, chance
-        return logp, p
+        return logp, chance
 
     def walk(self, parts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A segmentation of each of parts, drawn with its random key: edges, part after part, and their number."""
