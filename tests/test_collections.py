@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from gritstone.functions import formats
 from gritstone.operators import lookup
+from gritstone.sources import tables
 
 
 def test_fixed_rounds_as_python_does(spark):
@@ -33,3 +34,9 @@ def test_lookup_facts_within(spark):
     asked = spark.createDataFrame([(1, "rw of 15/9-F-5", "a"), (2, "tell of 15/9-F-5", "b")], "query_id int, query string, c string")
     got = sorted((r["query_id"], r["value"]) for r in lookup.lookup_facts(asked, facts, within="c").collect())
     assert got == [(1, "0.1"), (2, "0.2")]
+
+
+def test_nested_values_of_two_tables(spark):
+    """A well with two tables: the first by source and page counts, and values of the second that the first lacks stay."""
+    values = spark.createDataFrame([("w", "Rhoma", "Hugin", "2.7", "b.pdf", 0), ("w", "Rhoma", "Hugin", "2.6", "a.pdf", 3), ("w", "Rhoma", "Ty", "2.5", "b.pdf", 0)], "well string, param string, formation string, value string, source string, page int")
+    assert [r.asDict() for r in tables.nested_values(values).collect()] == [{"well": "w", "params": {"Rhoma": {"Hugin": "2.6", "Ty": "2.5"}}}]
