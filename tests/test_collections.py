@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from gritstone.functions import formats
-from gritstone.operators import lookup
+from gritstone.operators import lookup, retrieval
 from gritstone.sources import tables
 
 
@@ -40,3 +40,14 @@ def test_nested_values_of_two_tables(spark):
     """A well with two tables: the first by source and page counts, and values of the second that the first lacks stay."""
     values = spark.createDataFrame([("w", "Rhoma", "Hugin", "2.7", "b.pdf", 0), ("w", "Rhoma", "Hugin", "2.6", "a.pdf", 3), ("w", "Rhoma", "Ty", "2.5", "b.pdf", 0)], "well string, param string, formation string, value string, source string, page int")
     assert [r.asDict() for r in tables.nested_values(values).collect()] == [{"well": "w", "params": {"Rhoma": {"Hugin": "2.6", "Ty": "2.5"}}}]
+
+
+def test_document_classes(spark):
+    """Questions on one well share its chunks: each chunk is compared with it once, and none is lost."""
+    hits = spark.createDataFrame([(q, f"15_9-F-{w}/r.pdf", "r.pdf") for q in range(40) for w in (4, 5)], "query_id int, source string, filename string")
+    asked = spark.createDataFrame([(q, "depth in 15/9-F-4" if q < 39 else "tell of it") for q in range(40)], "query_id int, query string")
+    chunks = spark.createDataFrame([(d, f"15_9-F-{4 + d % 2}/r.pdf", "r.pdf", 1, "in 15/9-F-4 we see") for d in range(10)], "doc_id int, source string, filename string, page int, text string")
+    members, kept = retrieval.document_classes(hits, hits.limit(0), chunks, asked)
+    assert members.count() == 41 and kept.count() == 5 + 10
+    got = [(r["query_id"], r["doc_id"]) for r in retrieval.whole_documents(hits, hits.limit(0), chunks, asked).collect()]
+    assert sorted(got) == sorted([(q, d) for q in range(39) for d in range(0, 10, 2)] + [(39, d) for d in range(10)])
