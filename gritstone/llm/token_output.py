@@ -82,13 +82,14 @@ class _WholeTexts:
 
 class _Tokens:
     """Ids of the parts of a text between spaces and line feeds: a tokenizer that drops white space makes the same ids of
-    the parts as of the whole (see may_be_cut). Forgets all once it holds `most` parts."""
+    the parts as of the whole (see may_be_cut). Forgets all once it holds `most` parts. The tokenizer's encodings take far more
+    room than their ids, so those of `at_once` parts are held at a time."""
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 1_500_000, at_once: int = 8192):
         from tokenizers import Tokenizer
 
         pa.set_cpu_count(1)
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most, self.at_once = Tokenizer.from_file(path), most, at_once
         self.clear()
 
     def clear(self) -> None:
@@ -110,12 +111,16 @@ class _Tokens:
         distinct = coded.dictionary.to_pylist()
         if len(self.known) > self.most:
             self.clear()
-        new = [p for p in distinct if p not in self.known]
-        if new:
+        unseen = [p for p in distinct if p not in self.known]
+        sizes, flats = [self.size], [self.flat]
+        for a in range(0, len(unseen), self.at_once):
+            new = unseen[a : a + self.at_once]
             found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.size = np.concatenate([self.size, np.fromiter(map(len, found), np.int64, len(found))])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for f in found for i in f), np.uint32)])
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            flats.append(np.fromiter((i for f in found for i in f), np.uint32))
+        if unseen:
+            self.size, self.flat = np.concatenate(sizes), np.concatenate(flats)
         code = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
         size = self.size[code]
         start = (np.cumsum(self.size) - self.size)[code]
